@@ -259,7 +259,7 @@ class _Comma(Codec):
     item = "string"
 
     def parse(self, c):
-        parts = F.transform(F.split(c.cast("string"), ","), F.trim)
+        parts = F.transform(F.split(c.cast("string"), ","), lambda x: F.trim(x))
         cast = F.transform(parts, lambda x: x.try_cast(self.item))
         return F.when(~F.exists(cast, lambda x: x.isNull()), cast)
 
@@ -347,7 +347,7 @@ class ReactionEquationCodec(Codec):
         sides = F.split(F.regexp_replace(s, rf"^ *\[ *{name} *\] *:", ""), "<=>")
 
         def parts(text: Column, sign: float) -> Column:
-            items = F.filter(F.transform(F.split(text, r"\+(?![^(]*\))"), F.trim), lambda x: x != "")
+            items = F.filter(F.transform(F.split(text, r"\+(?![^(]*\))"), lambda x: F.trim(x)), lambda x: x != "")
             return F.transform(
                 items,
                 lambda x: F.struct(

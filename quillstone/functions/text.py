@@ -27,7 +27,7 @@ def split_list(c: Column, separator: str = ",") -> Column:
     item = rf'\s*(?:{_ITEM}|[^"{sep}]*?)\s*'
     whole = rf"^{item}(?:{sep}{item})*$"
     raw = F.regexp_extract_all(F.concat(c, F.lit(separator)), F.lit(rf"({item}){sep}"), F.lit(1))
-    bare = F.transform(F.transform(raw, F.trim), lambda x: F.when(x.startswith('"'), F.regexp_replace(F.regexp_replace(x, r'^"|"$', ""), r"\\(.)", "$1")).otherwise(x))
+    bare = F.transform(F.transform(raw, lambda x: F.trim(x)), lambda x: F.when(x.startswith('"'), F.regexp_replace(F.regexp_replace(x, r'^"|"$', ""), r"\\(.)", "$1")).otherwise(x))
     return F.when(blank(c), F.array().cast("array<string>")).when(c.rlike(whole), bare)
 
 
