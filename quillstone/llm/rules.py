@@ -35,7 +35,7 @@ RULES = (
     Rule("symbols", "symbols", "chars", most=80),
     Rule("capitals", "capitals", "chars", most=450),
     Rule("stop_words", "stop_words", "words", least=50, from_=100),
-    Rule("variety", "variety", "words", least=1440),
+    Rule("variety", "variety", "words", least=1440, from_=2),  # one word can't repeat another
     Rule("repeated_lines", "distinct_lines", "lines", least=500, of="lines", from_=4),
 )
 MEASURES = ("chars", "words", "word_chars", "distinct_words", "stop_words", "capitals", "symbols", "lines", "distinct_lines")
