@@ -193,7 +193,9 @@ def automata(labelled: int = LABELLED, seed: int = 7) -> tuple[dict[str, Automat
 def score(value: str, keyed: bool) -> tuple[str, float]:
     """The likeliest format and the log odds that the candidate is one of it rather than benign."""
     made, benign = automata()
-    base = max(benign.score(value) - benign.length.get(len(value), benign.other * 1.5) + math.log(1 / 60), -4.2 * len(value))
+    base = benign.score(value) - benign.length.get(len(value), benign.other * 1.5) + math.log(1 / 60)
+    if not keyed:  # what stands alone may also be random without being a secret
+        base = max(base, -4.2 * len(value))
     best = max(((name, a.score(value)) for name, a in made.items() if keyed or FORMATS[name][1]), key=lambda x: x[1])
     return best[0], best[1] - base + (0.0 if keyed else BARE_ODDS)
 
@@ -205,11 +207,13 @@ def findings(text: str) -> list[tuple[int, int, str, float]]:
         group = m.lastgroup
         a, b = m.span(group)
         value = m[group]
-        if group in ("raw", "bare"):
-            value = value.rstrip(_TAIL if group == "raw" else "-._=/+")
-            b = a + len(value)
-        if len(value) >= 6:
-            out.append((a, b, *score(value, group != "bare")))
+        ends = {value}
+        if group in ("raw", "bare"):  # the last signs may be the sentence's
+            ends.add(value.rstrip(_TAIL if group == "raw" else "-._=/+"))
+        scored = [(*score(v, group != "bare"), len(v)) for v in ends if len(v) >= 6]
+        if scored:
+            name, odds, n = max(scored, key=lambda x: (x[1], x[2]))
+            out.append((a, a + n, name, odds))
     return out
 
 

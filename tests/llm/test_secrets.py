@@ -1,0 +1,40 @@
+import random
+
+from quillstone.llm import secrets
+
+
+def test_held_out_credentials():
+    """Found in prose by format; benign strings of the same kinds as trained on, but from another seed, aren't."""
+    rng = random.Random(99)
+    missed = wrong = 0
+    for name, (make, bare) in secrets.FORMATS.items():
+        for _ in range(60):
+            value = make(rng)
+            text = f"so the value is {value} they said" if bare else f'config: token = "{value}" and more'
+            hits = [f for f in secrets.findings(text) if f[3] > 0]
+            missed += not any(text[a:b] == value for a, b, *_ in hits)
+            wrong += sum(text[a:b] != value for a, b, *_ in hits)
+    benign = sum(any(f[3] > 0 for f in secrets.findings(f"then {secrets._benign(rng)} and so on")) for _ in range(500))
+    assert missed <= 15 and wrong == 0 and benign <= 5
+
+
+def test_automata_generalise():
+    a = secrets.alergia([f"ab{i:03d}" for i in range(300)])
+    assert len(a.arcs) < 100 and a.score("ab999") > a.score("zz999")
+
+
+def test_redaction():
+    key = "AKIA" + "Q7ZP2M4XK9T1VB3C"
+    text = f"before {key} after"
+    assert secrets.redact_text(text) == "before <aws_access_key> after"
+    assert secrets.redact_text("nothing to see") == "nothing to see" and secrets.redact_text("") == ""
+
+
+def test_hard_rows(spark, hard, none):
+    assert secrets.scan(hard).count() == 0 and secrets.scan(none).count() == 0
+    same = lambda df: sorted(map(str, df.select("doc_id", "text", "n_chars").collect()))
+    assert same(secrets.redacted(hard)) == same(hard) and secrets.redacted(hard).columns == hard.columns
+    df = spark.createDataFrame([(1, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', 51), (1, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', 51), (2, None, None)], "doc_id long, text string, n_chars int")
+    assert [(r["format"], r["start"], r["end"]) for r in secrets.scan(df).collect()] == [("hex_token", 9, 49)] * 2
+    assert {(r["text"], r["n_chars"]) for r in secrets.redacted(df).collect()} == {('token = "<hex_token>"', 21), (None, None)}
+    assert secrets.redacted(none).count() == 0
