@@ -209,7 +209,7 @@ def findings(text: str) -> list[tuple[int, int, str, float]]:
         value = m[group]
         ends = {value}
         if group in ("raw", "bare"):  # the last signs may be the sentence's
-            ends.add(value.rstrip(_TAIL if group == "raw" else "-._=/+"))
+            ends.add(value.rstrip(_TAIL if group == "raw" else "."))
         scored = [(*score(v, group != "bare"), len(v)) for v in ends if len(v) >= 6]
         if scored:
             name, odds, n = max(scored, key=lambda x: (x[1], x[2]))
