@@ -230,3 +230,25 @@ def linear_values(coeffs: DataFrame, values: DataFrame, key: str = "expr") -> Da
 def rewrite(p: Parsed, name: Callable[[str, str], str]) -> str:
     """The formula with its references written by `name(model, id)`."""
     return re.sub(r"\bv(\d+)\b", lambda m: name(*p.terms[int(m[1])]), p.body)
+
+
+def compile_nested(formulas: dict[tuple[str, str], str], known: dict[str, list[str]], values: dict[tuple[str, str], Column]) -> dict[tuple[str, str], Column]:
+    """Columns of formulas that refer to each other by (model, id): each is compiled once, those that others need first. A circle is an error."""
+    parsed = {k: parse(t, known) for k, t in formulas.items()}
+    done: dict[tuple[str, str], Column] = {}
+    state: dict[tuple[str, str], int] = {}
+
+    def visit(k: tuple[str, str]) -> Column:
+        if k in done:
+            return done[k]
+        if k not in parsed:
+            if k not in values:
+                raise ExpressionError(f"{k[0]}.{k[1]} has no value")
+            return values[k]
+        if state.get(k):
+            raise ExpressionError(f"{k[0]}.{k[1]} depends on itself")
+        state[k] = 1
+        done[k] = compile_column(parsed[k], [visit(t) for t in parsed[k].terms])
+        return done[k]
+
+    return {k: visit(k) for k in formulas}

@@ -21,6 +21,27 @@ class Changes:
     after: Callable[[dict[str, DataFrame]], dict[str, DataFrame]] | None = None
 
 
+    @classmethod
+    def load(cls, path: str) -> Changes:
+        """From a JSON or YAML file with renamed_models and renamed_attributes; other keys are an error."""
+        import json
+
+        with open(path, encoding="utf-8") as f:
+            if path.endswith(".json"):
+                data = json.load(f)
+            else:
+                import yaml
+
+                data = yaml.safe_load(f)
+        if bad := set(data) - {"renamed_models", "renamed_attributes"}:
+            raise SchemaError(f"unknown keys {sorted(bad)} in {path}")
+        pair = lambda x: (str(x[0]), str(x[1]))
+        try:
+            return cls([pair(x) for x in data.get("renamed_models") or []], [(pair(a), pair(b)) for a, b in data.get("renamed_attributes") or []])
+        except (TypeError, ValueError, IndexError):
+            raise SchemaError(f"{path}: renames must be pairs") from None
+
+
 def plan(old: Catalog, new: Catalog, changes: Changes) -> dict[str, tuple[str, dict[str, str]]]:
     """old model -> (new model, {old column: new column}). Unlisted items of equal names map to themselves, the rest are dropped. Raises with all inconsistencies."""
     wrong = []

@@ -115,3 +115,8 @@ def discard(a: Column, value) -> Column:
 def pop(a: Column) -> tuple[Column, Column]:
     """The last item and the rest."""
     return F.try_element_at(a, F.lit(-1)), F.when(F.size(a) > 0, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a)
+
+
+def shuffled(a: Column) -> Column:
+    """The collection in random order."""
+    return F.shuffle(a)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.functions.codecs import codec
-from quillstone.functions.expressions import coefficients, compile_column, linear_values, parse
+from quillstone.functions.expressions import coefficients, compile_column, compile_nested, linear_values, parse
 from quillstone.operators import compare, graph, migrate, relate, select, validate
 from quillstone.plans.catalog import catalog
 from quillstone.schema import Attribute, Catalog, Model
@@ -478,6 +478,15 @@ def split_graphs(t):
     return graph.split(_links(t), roots, ["up"])[1]
 
 
+@query(f"WITH RECURSIVE e AS {_E}, r AS (SELECT dst AS node FROM e WHERE src IN (1, 8, 20) UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN 'mm' WHEN p_size % 3 = 1 THEN 'g' ELSE 's' END AS unit FROM r JOIN part ON p_partkey = node")
+def reachable_units(t):
+    """Distinct units of everything that can be reached."""
+    start = t("part").where("p_partkey IN (1, 8, 20)").select(F.col("p_partkey").alias("node"))
+    parts = t("part").join(graph.closure(_links(t), start), F.col("p_partkey") == F.col("node"), "left_semi")
+    unit = codec("Unit").clean(F.when(F.col("p_size") % 3 == 0, "mm").when(F.col("p_size") % 3 == 1, "g").otherwise("s"))
+    return parts.select(unit.alias("u")).select(F.col("u.text").alias("unit")).distinct()
+
+
 @query("SELECT o_orderkey, len(lines)::INT AS lines, list_sum(list_transform(lines, lambda x: x.q)) AS quantity FROM (SELECT l_orderkey AS o_orderkey, list({'q': l_quantity}) AS lines FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey)")
 def to_dict_json(t):
     made = graph.to_json(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", t("lineitem"), "l_orderkey", ["l_linenumber", "l_quantity"], "orders", "lineitem")
@@ -518,6 +527,15 @@ def expr_linear(t):
     return linear_values(keys.select("expr", F.concat_ws(":", "expr", "term").alias("term"), "coefficient"), values).withColumnRenamed("expr", "l_orderkey")
 
 
+@query("SELECT l_orderkey, sum(floor(l_extendedprice * (1 - l_discount) * 100)::BIGINT)::BIGINT AS net, sum(floor(l_extendedprice * (1 - l_discount) * (1 + l_tax) * 100)::BIGINT)::BIGINT AS gross FROM lineitem GROUP BY l_orderkey")
+def expr_nested(t):
+    """Formulas that refer to formulas."""
+    known = {"line": ["price", "discount", "tax"], "sum": ["net", "gross"]}
+    made = compile_nested({("sum", "gross"): "net * (1 + tax)", ("sum", "net"): "price * (1 - discount)"}, known, {("line", i): F.col(_VALUES[i]) for i in known["line"]})
+    rows = t("lineitem").select("l_orderkey", *[F.floor(c * 100).alias(n) for (_, n), c in made.items()])
+    return rows.groupBy("l_orderkey").agg(F.sum("net").alias("net"), F.sum("gross").alias("gross"))
+
+
 def _versions() -> tuple[Catalog, Catalog, migrate.Changes]:
     old = catalog()
     text, number = lambda n, **k: Attribute(n, codec("String"), **k), lambda n, **k: Attribute(n, codec("Integer"), **k)

@@ -42,3 +42,13 @@ def test_domain_errors(spark):
         p = parse(text, KNOWN)
         with pytest.raises(PySparkException):
             spark.range(1).select(compile_column(p, [F.lit(2.0) + F.col("id")] * len(p.terms))).collect()
+
+
+def test_nested(spark):
+    from quillstone.functions.expressions import compile_nested
+
+    known = {"P": ["a"], "F": ["f", "g"]}
+    made = compile_nested({("F", "g"): "f + 1", ("F", "f"): "2 * a"}, known, {("P", "a"): F.lit(3.0)})
+    assert spark.range(1).select(made["F", "g"]).first()[0] == 7.0
+    with pytest.raises(ExpressionError):
+        compile_nested({("F", "g"): "f", ("F", "f"): "g"}, known, {})

@@ -112,3 +112,26 @@ def test_letters():
     assert [xlsx.letters(n) for n in (1, 26, 27, 702, 703)] == ["A", "Z", "AA", "ZZ", "AAA"]
     with pytest.raises(ValueError):
         xlsx.letters(0)
+
+
+def test_data_source(spark, multi, tmp_path):
+    from quillstone.sources.datasource import register
+
+    register(spark)
+    s = tmp_path / "s.csv"
+    s.write_text("!Name,!Type,!Parent,!Format\n" + "\n".join(",".join(f'"{v}"' for v in r.values()) for r in SCHEMA))
+    (tmp_path / "more.csv").write_text("!!Tables type='Data' class='Person'\n!Name,!Age,!Companies\nCy,1,\n")
+    df = spark.read.format("tables").option("schema", str(s)).option("model", "Person").load(str(tmp_path / "[dm]*.csv"))
+    assert rows(df, "name", "age", "companies") == [*WANT[1], ("Cy", "1", "")]
+
+
+def test_changes_file(tmp_path):
+    from quillstone.operators.migrate import Changes
+    from quillstone.schema import SchemaError
+
+    p = tmp_path / "c.json"
+    p.write_text('{"renamed_models": [["A", "B"]], "renamed_attributes": [[["A", "x"], ["B", "y"]]]}')
+    assert Changes.load(str(p)) == Changes([("A", "B")], [(("A", "x"), ("B", "y"))])
+    p.write_text('{"other": 1}')
+    with pytest.raises(SchemaError):
+        Changes.load(str(p))
