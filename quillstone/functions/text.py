@@ -39,14 +39,12 @@ def join_list(c: Column, separator: str = ",") -> Column:
 
 
 def cell_column(number: Column) -> Column:
-    """Spreadsheet letters of a 1-based column number (up to 18278: three letters); null where it isn't positive."""
-    n = number.cast("int")
-    letter = lambda k: F.char(F.lit(65) + k)
-    one, two, three = n <= 26, n <= 702, n <= 18278
-    low = letter((n - 1) % 26)
-    mid = letter(F.floor((n - 27) / 26) % 26)
-    high = letter(F.floor((n - 703) / 676) % 26)
-    return F.when(n < 1, F.lit(None)).when(one, low).when(two, F.concat(mid, low)).when(three, F.concat(high, mid, low))
+    """Spreadsheet letters of a 1-based column number; null where it isn't positive."""
+    n = number.cast("bigint")
+    step = lambda x, _: F.struct(F.floor((x["n"] - 1) / 26).cast("bigint").alias("n"), F.concat(F.char(F.lit(65) + F.pmod(x["n"] - 1, F.lit(26))), x["s"]).alias("s"))
+    begin = F.struct(n.alias("n"), F.lit("").alias("s"))
+    folded = F.aggregate(F.sequence(F.lit(1), F.lit(10)), begin, lambda x, i: F.when(x["n"] > 0, step(x, i)).otherwise(x))
+    return F.when(n >= 1, folded["s"])
 
 
 def source_cell(file: Column, sheet: Column, row: Column, column: Column, transposed: bool = False, spreadsheet: bool = True) -> Column:

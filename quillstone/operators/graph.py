@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.cluster import cut as cut_lineage
+from quillstone.functions.text import split_list
+from quillstone.operators.relate import all_edges
+from quillstone.operators.validate import validate
+from quillstone.schema import Catalog
 
 
 def closure(edges: DataFrame, start: DataFrame, rounds: int | None = None, both: bool = False, carry: bool = False) -> DataFrame:
@@ -44,6 +48,49 @@ def cut(edges: DataFrame, keep: DataFrame) -> DataFrame:
     return edges.join(k, F.col("src") == k["node"], "left_semi").join(k, F.col("dst") == k["node"], "left_semi")
 
 
+def cut_from(edges: DataFrame, start: DataFrame, attrs: list[str] | None = None) -> DataFrame:
+    """The edges among the start nodes and their children; those that lead out are gone."""
+    return cut(edges, children(edges, start, attrs).select("node").union(start.select("node")))
+
+
+def reached(tables: dict[str, DataFrame], catalog: Catalog, start: DataFrame, both: bool = True) -> dict[str, DataFrame]:
+    """Of each table the rows that relations lead to from the start objects (type, pk), those themselves included."""
+    e = all_edges(tables, catalog)
+    name = lambda t, p: F.concat_ws("\x1f", t, p)
+    nodes = start.select(name("type", "pk").alias("node"))
+    if e is not None:
+        links = e.select(name("src_type", "src_pk").alias("src"), name("dst_type", "dst_pk").alias("dst"))
+        nodes = closure(links, nodes, both=both).union(nodes).distinct()
+    out = {}
+    for t, df in tables.items():
+        p = catalog[t].primary
+        if p:
+            out[t] = df.join(nodes, F.concat_ws("\x1f", F.lit(t), F.col(f"`{p}`").cast("string")) == F.col("node"), "left_semi")
+    return out
+
+
+def related_errors(tables: dict[str, DataFrame], catalog: Catalog, start: DataFrame, text: bool = False) -> DataFrame:
+    """The violations of everything that is related to the start objects."""
+    return validate(reached(tables, catalog, start), catalog, text)
+
+
+def objects(tables: dict[str, DataFrame], catalog: Catalog) -> DataFrame:
+    """(type, pk, json): every object as JSON with `__type` and `__id`; references are objects with those two and nothing else, so that circles end."""
+    out = None
+    for t, df in tables.items():
+        m = catalog[t]
+        key = F.col(f"`{m.primary}`").cast("string")
+        ref = lambda to, pk: F.struct(F.lit(to).alias("__type"), F.concat_ws(":", F.lit(to), pk).alias("__id"))
+        own = [F.col(f"`{a}`") for a in m.attributes if a in df.columns]
+        for r in m.relations.values():
+            if r.name in df.columns:
+                c = F.col(f"`{r.name}`").cast("string")
+                own.append((F.transform(split_list(c), lambda x, to=r.to: ref(to, x)) if r.many else F.when(c.isNotNull() & (c != ""), ref(r.to, c))).alias(r.name))
+        rows = df.select(F.lit(t).alias("type"), key.alias("pk"), F.to_json(F.struct(F.lit(t).alias("__type"), F.concat_ws(":", F.lit(t), key).alias("__id"), *own)).alias("json"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def split(edges: DataFrame, roots: DataFrame, attrs: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """A dataset for each root: its nodes (root, node), and its edges (root, src, attr, dst) inside them. Nodes may be in several."""
     under = children(edges, roots, attrs, carry=True)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.text import join_list, natural_key, split_list
+from quillstone.schema import Catalog
 
 
 def link(df: DataFrame, column: str, to: DataFrame, key: str, bring: list[str] | None = None) -> DataFrame:
@@ -38,6 +39,24 @@ def edges(df: DataFrame, model: str, key: str, relation: str, to: str, many: boo
     return rows.where("dst_pk is not null and dst_pk != ''").select(F.lit(model).alias("src_type"), "src_pk", F.lit(relation).alias("attr"), F.lit(to).alias("dst_type"), "dst_pk")
 
 
+def all_edges(tables: dict[str, DataFrame], catalog: Catalog) -> DataFrame | None:
+    """The edges of every relation of a dataset: one pass over each table and relation; None where there is no relation."""
+    out = None
+    for name, df in tables.items():
+        model = catalog[name]
+        for r in model.relations.values():
+            if r.name in df.columns and model.primary:
+                e = edges(df, name, model.primary, r.name, r.to, r.many)
+                out = e if out is None else out.unionByName(e)
+    return out
+
+
+def with_default(df: DataFrame, column: str, default) -> DataFrame:
+    """References that are missing take the default before they are linked."""
+    c = F.col(f"`{column}`")
+    return df.withColumn(column, F.coalesce(c, F.lit(default).cast(df.schema[column].dataType)))
+
+
 def inverse(e: DataFrame, back: str) -> DataFrame:
     """The edges seen from the other side."""
     return e.select(F.col("dst_type").alias("src_type"), F.col("dst_pk").alias("src_pk"), F.lit(back).alias("attr"), F.col("src_type").alias("dst_type"), F.col("src_pk").alias("dst_pk"))

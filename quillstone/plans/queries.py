@@ -103,9 +103,15 @@ def set_value_where(t):
     return select.set_where(rows, "price", 0.0, large=True).select("p_partkey", "price")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey <= 26 THEN chr((64 + p_partkey)::INT) WHEN p_partkey <= 702 THEN chr((65 + (p_partkey - 27) // 26)::INT) || chr((65 + (p_partkey - 1) % 26)::INT) ELSE chr((65 + (p_partkey - 703) // 676)::INT) || chr((65 + ((p_partkey - 27) // 26) % 26)::INT) || chr((65 + (p_partkey - 1) % 26)::INT) END AS letters FROM part WHERE p_partkey BETWEEN 1 AND 18278")
+def _letters_sql(n: str, levels: int = 6) -> str:
+    steps = [f"{n} AS n0"] + [f"CASE WHEN n{k} > 0 THEN (n{k} - 1) // 26 ELSE 0 END AS n{k + 1}" for k in range(levels)]
+    signs = [f"CASE WHEN n{k} > 0 THEN chr((65 + (n{k} - 1) % 26)::INT) ELSE '' END" for k in range(levels)]
+    return f"{', '.join(steps)}, nullif({' || '.join(reversed(signs))}, '') AS letters"
+
+
+@query(f"SELECT p_partkey, letters FROM (SELECT p_partkey, {_letters_sql('p_partkey')} FROM part)")
 def cell_columns(t):
-    return t("part").where("p_partkey BETWEEN 1 AND 18278").select("p_partkey", T.cell_column(F.col("p_partkey")).alias("letters"))
+    return t("part").select("p_partkey", T.cell_column(F.col("p_partkey")).alias("letters"))
 
 
 # -- relations ---------------------------------------------------------------------------------------------
@@ -166,6 +172,17 @@ def related_cells_csv(t):
     return relate.from_cell(cells, "l_orderkey", "cell", "l_linenumber: int, l_quantity: double", "csv")
 
 
+@query("SELECT 'customer' AS src_type, 'c_nationkey' AS attr, 'nation' AS dst_type, c_custkey::VARCHAR AS src_pk, c_nationkey::VARCHAR AS dst_pk FROM customer UNION ALL SELECT 'nation', 'n_regionkey', 'region', n_nationkey::VARCHAR, n_regionkey::VARCHAR FROM nation UNION ALL SELECT 'orders', 'o_custkey', 'customer', o_orderkey::VARCHAR, o_custkey::VARCHAR FROM orders")
+def edge_table(t):
+    return relate.all_edges({n: t(n) for n in ("region", "nation", "customer", "orders")}, catalog())
+
+
+@query("SELECT c_custkey, coalesce(CASE WHEN c_nationkey % 4 <> 0 THEN c_nationkey END, 7) AS nation FROM customer")
+def default_references(t):
+    rows = t("customer").select("c_custkey", F.when(F.col("c_nationkey") % 4 != 0, F.col("c_nationkey")).alias("nation"))
+    return relate.with_default(rows, "nation", 7)
+
+
 @query("SELECT dst AS src_pk, src AS dst_pk FROM (SELECT o_orderkey::VARCHAR AS src, o_custkey::VARCHAR AS dst FROM orders)")
 def inverse_edges(t):
     return relate.inverse(relate.edges(t("orders"), "orders", "o_orderkey", "o_custkey", "customer"), "orders").select("src_pk", "dst_pk")
@@ -472,6 +489,18 @@ def cut_subgraph(t):
     return graph.cut(_links(t), t("part").where("p_size > 10").select(F.col("p_partkey").alias("node")))
 
 
+@query(f"WITH RECURSIVE e AS {_E}, r AS (SELECT p_partkey AS node FROM part WHERE p_partkey IN (2, 7) UNION SELECT e.dst FROM r JOIN e ON e.src = r.node AND attr = 'up') SELECT src, attr, dst FROM e WHERE src IN (SELECT node FROM r) AND dst IN (SELECT node FROM r)")
+def cut_children(t):
+    start = t("part").where("p_partkey IN (2, 7)").select(F.col("p_partkey").alias("node"))
+    return graph.cut_from(_links(t), start, ["up"])
+
+
+@query("SELECT c_custkey::VARCHAR AS pk, 'nation:' || c_nationkey AS nation, c_mktsegment AS segment FROM customer")
+def objects_json(t):
+    made = graph.objects({"customer": t("customer")}, catalog())
+    return made.select("pk", F.get_json_object("json", "$.c_nationkey.__id").alias("nation"), F.get_json_object("json", "$.c_mktsegment").alias("segment"))
+
+
 @query(f"WITH RECURSIVE e AS {_E}, r AS (SELECT p_partkey AS root, p_partkey AS node FROM part WHERE p_partkey IN (1, 2, 5) UNION SELECT r.root, e.dst FROM r JOIN e ON e.src = r.node AND attr = 'up') SELECT a.root, src, attr, dst FROM e JOIN r a ON a.node = src JOIN r b ON b.node = dst AND a.root = b.root")
 def split_graphs(t):
     roots = t("part").where("p_partkey IN (1, 2, 5)").select(F.col("p_partkey").alias("node"))

@@ -124,3 +124,13 @@ def test_migrate(spark):
     changes = migrate.Changes([("Parent", "Person")], [(("Parent", "id"), ("Person", "name"))])
     out = migrate.migrate({"Parent": spark.createDataFrame([("a", 3)], "id string, age bigint")}, old, new, changes)
     assert [tuple(r) for r in out["Person"].collect()] == [("a", 3, "t")]
+
+
+def test_errors_of_what_is_related(spark):
+    parents = spark.createDataFrame([("a", "x"), ("b", "y")], "id string, age string")
+    children = spark.createDataFrame([("k", "a")], "id string, parent string")
+    start = spark.createDataFrame([("Child", "k")], "type string, pk string")
+    tables = {"Parent": parents, "Child": children}
+    assert found(graph.related_errors(tables, family(), start, text=True)) == [("Parent", "a", "age", "x")]
+    rows = {r["pk"]: r["json"] for r in graph.objects(tables, family()).collect()}
+    assert rows["k"] == '{"__type":"Child","__id":"Child:k","id":"k","parent":{"__type":"Parent","__id":"Parent:a"}}'
