@@ -38,6 +38,7 @@ RULES = (
     Rule("variety", "variety", "words", least=1440, from_=2),  # one word can't repeat another
     Rule("repeated_lines", "distinct_lines", "lines", least=500, of="lines", from_=4),
 )
+HERE = "__qr_here"  # not deterministic: a filter that needs it stays above the measures, which are then computed once and not at each mention
 MEASURES = ("chars", "words", "word_chars", "distinct_words", "stop_words", "capitals", "symbols", "lines", "distinct_lines")
 
 
@@ -83,7 +84,8 @@ def _measured(docs: DataFrame, text_col: str, keep: list[Column], rules: tuple[R
         F.filter(F.split(F.lower(whole), "[^\\p{L}\\p{N}]+"), lambda w: w != "").alias("__qr_words"),
         F.filter(F.split(whole, "\n"), lambda x: x != "").alias("__qr_lines"),
     )
-    return split.select(*[c for c in split.columns if not c.startswith("__qr_")], *[c.cast("int").alias(m) for m, c in measures(F.col("__qr_text")).items()])
+    made = [c.cast("int").alias(m) for m, c in measures(F.col("__qr_text")).items()]
+    return split.select(*[c for c in split.columns if not c.startswith("__qr_")], *made, F.spark_partition_id().alias(HERE))
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -99,7 +101,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
 def kept(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows that fail no rule, with all their columns."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    rows = _measured(docs, text_col, [row], rules).where(compiled(rules) == "")
+    rows = _measured(docs, text_col, [row], rules).where((compiled(rules) == "") & (F.col(HERE) >= 0))
     return rows.select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 
