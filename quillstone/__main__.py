@@ -16,7 +16,7 @@ LENIENT = Strictness(True, True, True, True, True)
 
 
 def _clean(data: Dataset, catalog: Catalog) -> dict[str, DataFrame]:
-    return {n: validate.clean(d, catalog[n]) for n, d in data.tables.items()}
+    return {n: validate.clean(d, catalog[n], catalog=catalog) for n, d in data.tables.items()}
 
 
 def run(args: list[str], spark: SparkSession | None = None) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.cluster import cut as cut_lineage
@@ -74,6 +74,10 @@ def related_errors(tables: dict[str, DataFrame], catalog: Catalog, start: DataFr
     return validate(reached(tables, catalog, start), catalog, text)
 
 
+def _many(ref, to: str, c: Column) -> Column:
+    return F.transform(split_list(c), lambda x: ref(to, x))
+
+
 def objects(tables: dict[str, DataFrame], catalog: Catalog) -> DataFrame:
     """(type, pk, json): every object as JSON with `__type` and `__id`; references are objects with those two and nothing else, so that circles end."""
     out = None
@@ -85,7 +89,7 @@ def objects(tables: dict[str, DataFrame], catalog: Catalog) -> DataFrame:
         for r in m.relations.values():
             if r.name in df.columns:
                 c = F.col(f"`{r.name}`").cast("string")
-                own.append((F.transform(split_list(c), lambda x, to=r.to: ref(to, x)) if r.many else F.when(c.isNotNull() & (c != ""), ref(r.to, c))).alias(r.name))
+                own.append((_many(ref, r.to, c) if r.many else F.when(c.isNotNull() & (c != ""), ref(r.to, c))).alias(r.name))
         rows = df.select(F.lit(t).alias("type"), key.alias("pk"), F.to_json(F.struct(F.lit(t).alias("__type"), F.concat_ws(":", F.lit(t), key).alias("__id"), *own)).alias("json"))
         out = rows if out is None else out.unionByName(rows)
     return out

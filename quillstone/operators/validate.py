@@ -7,21 +7,40 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions.codecs import Codec
+from quillstone.functions.codecs import Codec, StringCodec
+from quillstone.functions.text import join_list, natural_key, split_list
 from quillstone.schema import Catalog, Model
 
 VIOLATION = "model string, pk string, attr string, message string, value string"
 
 
-def clean(df: DataFrame, model: Model, text: bool = True) -> DataFrame:
-    """Text columns as typed values. Columns that the model doesn't have are dropped, those that are missing are null."""
+def reference(c: Column, to: Codec) -> Column:
+    """The text of a reference as its object's key is written: `7.0` and `7` mean the same whole number. What isn't a key stays as it is."""
+    return F.when(c.isNull() | (F.trim(c) == ""), c).otherwise(F.coalesce(to.clean(c).cast("string"), c))
+
+
+def _references_of(c: Column, to: Codec) -> Column:
+    return F.transform(split_list(c), lambda x: reference(x, to))
+
+
+def clean(df: DataFrame, model: Model, text: bool = True, catalog: Catalog | None = None) -> DataFrame:
+    """Text columns as typed values. Columns that the model doesn't have are dropped, those that are missing are null. With the
+    catalog, references are written as the keys that they refer to."""
     out = []
     for n in model.columns():
         if n in model.attributes:
             codec = model.attributes[n].codec
             out.append((codec.clean(df[f"`{n}`"]) if text else df[f"`{n}`"]).alias(n) if n in df.columns else F.lit(None).cast(codec.spark_type).alias(n))
+        elif n not in df.columns:
+            out.append(F.lit(None).cast("string").alias(n))
         else:
-            out.append((df[f"`{n}`"] if n in df.columns else F.lit(None).cast("string")).alias(n))
+            r, c = model.relations[n], df[f"`{n}`"]
+            key = catalog[r.to].primary if text and catalog is not None else None
+            if key and not r.many:
+                c = reference(c, catalog[r.to].attributes[key].codec)
+            elif key and not isinstance(catalog[r.to].attributes[key].codec, StringCodec):
+                c = F.coalesce(join_list(_references_of(c, catalog[r.to].attributes[key].codec)), c)
+            out.append(c.alias(n))
     return df.select(*out)
 
 
@@ -107,7 +126,7 @@ def validate(data: dict[str, DataFrame], catalog: Catalog, text: bool = False) -
         model = catalog[name]
         if text:
             parts.append(clean_errors(df, model))
-        typed[name] = clean(df, model, text)
+        typed[name] = clean(df, model, text, catalog)
         parts.append(rules(typed[name], model))
     for name in catalog.models:
         have = [typed[s] for s in catalog.subclasses(name) if s in typed]
@@ -138,8 +157,6 @@ def validate(data: dict[str, DataFrame], catalog: Catalog, text: bool = False) -
 
 def _references(df: DataFrame, key: str | None, column: str, many: bool) -> DataFrame:
     """(pk, ref): a row for each reference, from a key column or a separated list."""
-    from quillstone.functions.text import split_list
-
     c = F.col(f"`{column}`").cast("string")
     pk = (F.col(f"`{key}`") if key else F.lit(None)).cast("string").alias("pk")
     if many:
@@ -158,8 +175,6 @@ def by_model(violations: DataFrame) -> DataFrame:
 
 def report(violations: DataFrame, most: int = 1000) -> str:
     """An indented report of at most so many violations, in natural order, for people to read."""
-    from quillstone.functions.text import natural_key
-
     rows = violations.orderBy("model", natural_key(F.coalesce("pk", F.lit(""))), "attr", "message").limit(most).collect()
     lines, at = [], (None, None)
     for r in rows:

@@ -79,9 +79,12 @@ class Model:
         return x.verbose or x.name
 
     def by_heading(self, heading: str) -> str | None:
-        """The column of a heading: by name, then by verbose name, whatever the case."""
+        """The column of a heading: by name, by verbose name, whatever the case, then by its words."""
         low = heading.lower()
-        return next((n for n in self.columns() if n.lower() == low), None) or next((n for n in self.columns() if self.heading(n).lower() == low), None)
+        for same in (lambda n: n.lower() == low, lambda n: self.heading(n).lower() == low, lambda n: n == snake(heading)):
+            if found := next(filter(same, self.columns()), None):
+                return found
+        return None
 
 
 class SchemaError(ValueError):
@@ -240,7 +243,7 @@ def compile_table(rows: Iterable[dict[str, str]], name: str = "") -> Catalog:
             key = snake(r["Name"])
             if key in m.attributes or key in m.relations:
                 raise SchemaError(f"{r['Parent']}.{key} is defined twice")
-            verbose = r.get("Verbose name") or r["Name"]
+            verbose = r.get("Verbose name") or (r["Name"] if r["Name"] != key else key.replace("_", " ").capitalize())
             a = attribute(key, r["Format"], verbose, r.get("Description", ""))
             (m.relations if isinstance(a, Relation) else m.attributes)[key] = a
             m.order.append(key)

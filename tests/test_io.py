@@ -135,3 +135,16 @@ def test_changes_file(tmp_path):
     p.write_text('{"other": 1}')
     with pytest.raises(SchemaError):
         Changes.load(str(p))
+
+
+def test_references_to_numbers_and_headings_by_words(spark, tmp_path):
+    """`7.0` refers to the object 7; a heading may be the words of a name."""
+    from quillstone.operators.validate import validate
+
+    schema = [dict(zip(HEAD, r)) for r in [("place", "Class", "", "multiple_cells"), ("start", "Attribute", "place", "Integer(primary=True, unique=True)"), ("gene", "Class", "", "row"), ("id", "Attribute", "gene", "Slug"), ("first_place", "Attribute", "gene", "ManyToOne('place', related_name='genes')"), ("others", "Attribute", "gene", "ManyToMany('place', related_name='more')")]]
+    p = tmp_path / "g.csv"
+    p.write_text("!!Tables type='Data' class='gene'\n,!First place,\n!Id,!Start,!Others\ng1,7.0,\"7.0, 7\"\ng2,8.0,9\n")
+    c = compile_table(schema)
+    data = read(spark, str(p), c)
+    assert rows(clean(data.tables["gene"], c["gene"], catalog=c), "id", "first_place", "others") == [("g1", "7", "7, 7"), ("g2", "8", "9")]
+    assert [(r["pk"], r["attr"], r["value"]) for r in validate(data.tables, c, text=True).collect()] == [("g2", "others", "9")]

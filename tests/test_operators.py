@@ -134,3 +134,14 @@ def test_errors_of_what_is_related(spark):
     assert found(graph.related_errors(tables, family(), start, text=True)) == [("Parent", "a", "age", "x")]
     rows = {r["pk"]: r["json"] for r in graph.objects(tables, family()).collect()}
     assert rows["k"] == '{"__type":"Child","__id":"Child:k","id":"k","parent":{"__type":"Parent","__id":"Parent:a"}}'
+
+
+def test_objects_with_lists(spark):
+    c = Catalog({
+        "P": Model("P", {"id": Attribute("id", codec("Slug"), primary=True, unique=True)}),
+        "C": Model("C", {"id": Attribute("id", codec("Slug"), primary=True, unique=True)}, {"ps": Relation("ps", "N-M", "P", "cs")}),
+    })
+    df = spark.createDataFrame([("k", "a, b"), ("l", None)], "id string, ps string")
+    rows = {r["pk"]: r["json"] for r in graph.objects({"C": df}, c).collect()}
+    assert rows["k"] == '{"__type":"C","__id":"C:k","id":"k","ps":[{"__type":"P","__id":"P:a"},{"__type":"P","__id":"P:b"}]}'
+    assert sorted((r["src_pk"], r["dst_pk"]) for r in relate.all_edges({"C": df}, c).collect()) == [("k", "a"), ("k", "b")]
