@@ -16,7 +16,7 @@ def closure(edges: DataFrame, start: DataFrame, rounds: int | None = None, both:
     """Nodes that edges (src, dst) lead to from the start nodes (node), the start among them only where it lies on a cycle or, with `carry`, (root, node) of each start.
 
     Breadth first: each round joins the frontier with the edges and drops what was seen (anti join); it ends when the
-    frontier is empty, so cycles are no trouble. Lineage is cut in the shared folder each round.
+    frontier is empty, so cycles are no trouble. Each frontier is cut in the shared folder.
     """
     e = edges.select("src", "dst")
     if both:
@@ -31,8 +31,10 @@ def closure(edges: DataFrame, start: DataFrame, rounds: int | None = None, both:
         near = cut_lineage(near if seen is None else near.join(seen, keys, "left_anti"))
         if near.isEmpty():
             break
-        seen = near if seen is None else cut_lineage(seen.union(near))
+        seen = near if seen is None else seen.union(near)
         frontier, n = near, n + 1
+        if n % 8 == 0:  # its parts are cut already; this keeps their number small
+            seen = cut_lineage(seen)
     return seen if seen is not None else frontier.limit(0)
 
 

@@ -145,3 +145,9 @@ def test_objects_with_lists(spark):
     rows = {r["pk"]: r["json"] for r in graph.objects({"C": df}, c).collect()}
     assert rows["k"] == '{"__type":"C","__id":"C:k","id":"k","ps":[{"__type":"P","__id":"P:a"},{"__type":"P","__id":"P:b"}]}'
     assert sorted((r["src_pk"], r["dst_pk"]) for r in relate.all_edges({"C": df}, c).collect()) == [("k", "a"), ("k", "b")]
+
+
+def test_closure_of_many_rounds(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(20)], "src int, dst int")
+    got = graph.closure(e, spark.createDataFrame([(0,)], "node int"))
+    assert sorted(r["node"] for r in got.collect()) == list(range(1, 21))
