@@ -12,6 +12,7 @@ import math
 import random
 import re
 import string
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,9 +28,11 @@ from quillstone.llm.common import pieces
 
 ALPHA, LABELLED, FLOOR = 0.05, 800, 0.01
 BARE_ODDS = -4.0  # log prior odds of a candidate that no keyword introduces
-CANDIDATE = re.compile(
-    r"""(?P<key>(?i:api[_-]?key|access[_-]?key|secret|token|passwd|password|pwd|bearer|credential)[\w-]{0,16})["']?(?:\s*[:=]\s*|\s+(?=["']))(?:"(?P<dq>[^"\s]{6,})"|'(?P<sq>[^'\s]{6,})'|(?P<raw>[^\s"',;|]{6,}))|(?P<bare>[A-Za-z0-9_\-.=+/]{20,})"""
+KEYED = re.compile(
+    r"""(?i:api[_-]?key|access[_-]?key|secret|token|passwd|password|pwd|bearer|credential)(?:(?<=[Bb][Ee][Aa][Rr][Ee][Rr])[ \t]+(?=[^\s"'])|[\w-]{0,16}["']?(?:\s*[:=]\s*|\s+(?=["'])))(?:"(?P<dq>[^"\s]{6,})"|'(?P<sq>[^'\s]{6,})'|(?P<raw>[^\s"',;|]{6,}))"""
 )
+BARE = re.compile(r"[A-Za-z0-9_\-.=+/]{20,}")
+_PART = re.compile(r"[A-Za-z0-9_\-]{20,}")
 _TAIL = "!?.,;:)]}%*#&$"
 
 
@@ -200,21 +203,55 @@ def score(value: str, keyed: bool) -> tuple[str, float]:
     return best[0], best[1] - base + (0.0 if keyed else BARE_ODDS)
 
 
+@cache
+def _openings() -> tuple[dict[str, list[str]], dict[str, tuple[list[int], re.Pattern]], re.Pattern]:
+    """Formats without a keyword by the first three characters of their labelled examples; their lengths, longest first, and runs of their characters; what finds the first three after any sign."""
+    rng, names, shapes = random.Random(7), {}, {}
+    for name, (make, bare) in FORMATS.items():
+        if bare:
+            for s in sorted({make(rng)[:3] for _ in range(LABELLED)}):
+                names.setdefault(s, []).append(name)
+            made = automata()[0][name]
+            shapes[name] = sorted(made.length, reverse=True), re.compile(f"[{re.escape(''.join(sorted({c for arcs in made.arcs for c in arcs})))}]*")
+    return names, shapes, re.compile(f"(?<![A-Za-z0-9])(?:{'|'.join(map(re.escape, names))})")
+
+
+def _within(run: str) -> set[tuple[int, int]]:
+    """Where candidates lie in a run without blanks: the whole, its parts between the signs = / . +, and, after any sign, the longest that begins as a format does and has its characters and length."""
+    found = {(0, len(run)), (0, len(run.rstrip(".")))} | {m.span() for m in _PART.finditer(run)}
+    names, shapes, start = _openings()
+    for m in start.finditer(run):
+        a = m.start()
+        for name in names[m[0]]:
+            lengths, letters = shapes[name]
+            end = letters.match(run, a, a + lengths[0]).end()
+            n = next((n for n in lengths if a + n <= end and run[a + n - 1] != "." and not run[a + n : a + n + 1].isalnum()), None)
+            if n:
+                found.add((a, a + n))
+    return found
+
+
 def findings(text: str) -> list[tuple[int, int, str, float]]:
-    """(start, end, format, log odds) of every candidate of a text, in order."""
-    out = []
-    for m in CANDIDATE.finditer(text):
-        group = m.lastgroup
-        a, b = m.span(group)
-        value = m[group]
-        ends = {value}
-        if group in ("raw", "bare"):  # the last signs may be the sentence's
-            ends.add(value.rstrip(_TAIL if group == "raw" else "."))
-        scored = [(*score(v, group != "bare"), len(v)) for v in ends if len(v) >= 6]
-        if scored:
-            name, odds, n = max(scored, key=lambda x: (x[1], x[2]))
-            out.append((a, a + n, name, odds))
-    return out
+    """(start, end, format, log odds) of the candidates of a text, in order; of those that overlap the likeliest."""
+    spans: dict[tuple[int, int], bool] = {}
+    m = KEYED.search(text)
+    while m:
+        a, b = m.span(m.lastgroup)
+        spans[a, b] = True
+        if m.lastgroup == "raw":  # the last signs may be the sentence's
+            spans[a, a + len(m["raw"].rstrip(_TAIL))] = True
+        m = KEYED.search(text, a)  # the value may be the next one's keyword
+    for m in BARE.finditer(text):
+        for a, b in _within(m[0]):
+            spans.setdefault((m.start() + a, m.start() + b), False)
+    scored = [(*score(text[a:b], keyed), a, b) for (a, b), keyed in spans.items() if b - a >= 6]
+    out, taken = [], []
+    for name, odds, a, b in sorted(scored, key=lambda x: (-x[1], x[2] - x[3], x[2])):
+        k = bisect(taken, (a, b))
+        if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or taken[k][0] >= b):
+            taken.insert(k, (a, b))
+            out.append((a, b, name, odds))
+    return sorted(out)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.0) -> DataFrame:
