@@ -26,7 +26,7 @@ PATTERNS = 50_000  # commonest patterns of features and votes that the classifie
 THRESHOLD = 0.5
 CONTEXT = 32
 
-CANDIDATE = re.compile(r"[^\s@<>()\[\]{}\"|,;:]+@[^\s@<>()\[\]{}\"|,;:]+|\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b|(?<![\w.])[+(]{0,2}\d(?:[ ().\-/]{0,2}\d){6,}(?![\w])")
+CANDIDATE = re.compile(r"[^\s@<>()\[\]{}\"|,;:]+@[^\s@<>()\[\]{}\"|,;:]+|\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b|(?<![\w.+])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)|(?<![\w.])[+(]{0,2}\d(?:[ ().\-/]{0,2}\d){6,}(?![\w])")
 _EMAIL = re.compile(r"[\w.+%-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", re.UNICODE)
 _IP = re.compile(r"(?:\d{1,3}\.){3}\d{1,3}")
 _PHONE = re.compile(r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[-.]\d{3}[-.]\d{4}")
@@ -34,6 +34,8 @@ _CARD = re.compile(r"\d{4}([ -]?)\d{4}\1\d{4}\1\d{1,7}")
 _NATIONAL = re.compile(r"\d{3}-\d{2}-\d{4}")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}")
 _ENDED = tuple(re.compile(rf"(?:{p.pattern})(?= |\Z)") for p in (_PHONE, _CARD, _IP, _NATIONAL))
+_IP_AFTER = re.compile(rf" (?={_IP.pattern}(?: |\Z))")
+_VERSION = re.compile(r"(?:\b(?:v|ver|version|release|rev|revision|build|firmware|section|chapter|clause)|§)s?[.:=]? ?\Z", re.I)
 _DATE = re.compile(r"(?:19|20)\d{2}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./](?:19|20)\d{2}")
 TOP_DOMAINS = frozenset("com org net edu gov mil int info biz io co me eu de fr es it nl uk us ca au ch at be pl ru cn jp in br se no fi dk cz".split())
 CALLING_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 212 213 216 351 352 353 354 358 359 370 371 372 380 420 421".split())
@@ -63,10 +65,14 @@ def iban_ok(s: str) -> bool:
 
 
 def _parts(s: str) -> list[int]:
-    """Where a run of digits and blanks is cut: before each blank that follows a whole phone, card or other number."""
+    """Where a run of digits and blanks is cut: before each blank that follows a whole phone, card or other number, and before an address that follows anything else."""
     cuts, at = [], 0
     while " " in s[at:]:
         whole = [m.end() for p in _ENDED if (m := p.match(s, at))]
+        if not whole and s[at] not in "+(" and (m := _IP_AFTER.search(s, at)):
+            at = m.end()
+            cuts.append(at)
+            continue
         if not whole or max(whole) == len(s):
             break
         at = max(whole) + 1
@@ -101,7 +107,7 @@ def _checks(s: str, digits: str, before: str) -> int | None:
     if "@" in s:
         return None
     if _IP.fullmatch(s):
-        return IP if all(int(x) < 256 for x in s.split(".")) else NONE
+        return IP if all(int(x) < 256 for x in s.split(".")) and not _VERSION.search(before) else NONE
     if s[:2].isalpha():
         return IBAN if iban_ok(s.replace(" ", "")) else NONE
     return (CARD if luhn(digits) else NONE) if 13 <= len(digits) <= 19 and s[0] != "+" else None
@@ -139,7 +145,7 @@ def _shape(s: str, digits: str, before: str) -> int | None:
     if "@" in s:
         return EMAIL if "." in s.rsplit("@", 1)[1] and not s.startswith("@") else NONE
     if s.count(".") == 3 and len(re.findall(r"\d+", s)) == 4:
-        return IP
+        return None if _VERSION.search(before) else IP
     if s[0] == "+" or "(" in s:
         return PHONE
     return None
@@ -173,7 +179,7 @@ def features(s: str, before: str) -> int:
     bits = (
         at, at and "." in host, at and host.rsplit(".", 1)[-1].isalpha(), at and s[0].isalnum(), s[0] == "+", "(" in s, s.isdigit(), "." in s and not at, s.count(".") == 3 and not at,
         not at and len(groups) == 4, "-" in s, " " in s, s[:2].isalpha() and not at, n < 9, 9 <= n <= 11, 12 <= n <= 15, n == 16, n > 16,
-        not at and len(groups) == 4 and max(map(len, groups)) <= 3 and all(int(g) < 256 for g in groups), [len(g) for g in groups] == [3, 2, 4], bool(_DATE.fullmatch(s)), not at and 13 <= n <= 19 and luhn(digits),
+        not at and len(groups) == 4 and max(map(len, groups)) <= 3 and all(int(g) < 256 for g in groups) and not _VERSION.search(before), [len(g) for g in groups] == [3, 2, 4], bool(_DATE.fullmatch(s)), not at and 13 <= n <= 19 and luhn(digits),
         *(bool(p.search(before)) for p in _SAID.values()),
     )
     return sum(1 << k for k, b in enumerate(bits) if b)

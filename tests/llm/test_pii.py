@@ -27,6 +27,19 @@ def test_numbers_side_by_side():
     assert [s for _, _, s in pii.spans("call +1 (826) 555-4081 190.137.223.204 now")] == ["+1 (826) 555-4081", "190.137.223.204"]
 
 
+def test_short_addresses(spark):
+    """Addresses of few digits are found among others, also beside numbers; version numbers of the same shape aren't addresses."""
+    for text, want in {"8.8.8.8": ["8.8.8.8"], "(10.0.0.1).": ["10.0.0.1"], "ip:10.0.0.12:8080": ["10.0.0.12"], "10.12.3.4/8": ["10.12.3.4"], "port 555 10.0.0.1 up": ["555", "10.0.0.1"], "1.2.3.4.5 v1.2.3.4 +1.2.3.4": []}.items():
+        assert [s for _, _, s in pii.spans(text)] == want, text
+    rng = random.Random(6)
+    rows = [(i, f"write to ab{i}.c@mail{i % 9}.example.com soon" if i % 2 else f"some words here {number(rng)} and more") for i in range(100)]
+    rows += [(i, f"the words before {'.'.join(str(rng.randint(1, 254)) for _ in range(4))} and more") for i in range(100, 150)]
+    rows += [(i, f"it needs version {rng.randint(1, 9)}.{rng.randint(0, 20)}.{rng.randint(0, 9)}.{rng.randint(0, 9)} or newer") for i in range(150, 170)]
+    rows += [(200, "ask 8.8.8.8 for it"), (201, "it runs on 10.0.0.1, they say"), (202, "needs version 1.2.3.4 of it"), (203, "see section 1.2.3.4 of it")]
+    got = {(r["doc_id"], r["start"], r["end"], r["type"]) for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] >= 150}
+    assert got == {(200, 4, 11, "ip_address"), (201, 11, 19, "ip_address")}
+
+
 def test_checks():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112") and pii.iban_ok("DE89370400440532013000")
 
