@@ -516,6 +516,40 @@ def reachable_units(t):
     return parts.select(unit.alias("u")).select(F.col("u.text").alias("unit")).distinct()
 
 
+# The same five from starts that grow with the table: all parts as roots, and the large ones.
+
+
+@query(f"WITH RECURSIVE e AS {_E}, r AS (SELECT dst AS node FROM e WHERE src IN (SELECT p_partkey FROM part WHERE p_size > 40) UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r")
+def related_closure_wide(t):
+    return graph.closure(_links(t), _large(t))
+
+
+@query(f"WITH RECURSIVE e AS {_E}, r AS (SELECT src AS root, dst AS node FROM e WHERE attr = 'up' UNION SELECT r.root, e.dst FROM r JOIN e ON e.src = r.node AND attr = 'up') SELECT root, node FROM r")
+def children_recursive_wide(t):
+    return graph.children(_links(t), t("part").select(F.col("p_partkey").alias("node")), ["up"], carry=True)
+
+
+@query(f"WITH RECURSIVE e AS {_E}, r AS (SELECT p_partkey AS node FROM part WHERE p_size > 40 UNION SELECT e.dst FROM r JOIN e ON e.src = r.node AND attr = 'up') SELECT src, attr, dst FROM e WHERE src IN (SELECT node FROM r) AND dst IN (SELECT node FROM r)")
+def cut_children_wide(t):
+    return graph.cut_from(_links(t), _large(t), ["up"])
+
+
+@query(f"WITH RECURSIVE e AS {_E}, r AS (SELECT p_partkey AS root, p_partkey AS node FROM part UNION SELECT r.root, e.dst FROM r JOIN e ON e.src = r.node AND attr = 'up') SELECT a.root, src, attr, dst FROM e JOIN r a ON a.node = src JOIN r b ON b.node = dst AND a.root = b.root")
+def split_graphs_wide(t):
+    return graph.split(_links(t), t("part").select(F.col("p_partkey").alias("node")), ["up"])[1]
+
+
+@query(f"WITH RECURSIVE e AS {_E}, r AS (SELECT dst AS node FROM e WHERE src IN (SELECT p_partkey FROM part WHERE p_size > 40) UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN 'mm' WHEN p_size % 3 = 1 THEN 'g' ELSE 's' END AS unit FROM r JOIN part ON p_partkey = node")
+def reachable_units_wide(t):
+    parts = t("part").join(graph.closure(_links(t), _large(t)), F.col("p_partkey") == F.col("node"), "left_semi")
+    unit = codec("Unit").clean(F.when(F.col("p_size") % 3 == 0, "mm").when(F.col("p_size") % 3 == 1, "g").otherwise("s"))
+    return parts.select(unit.alias("u")).select(F.col("u.text").alias("unit")).distinct()
+
+
+def _large(t):
+    return t("part").where("p_size > 40").select(F.col("p_partkey").alias("node"))
+
+
 @query("SELECT o_orderkey, len(lines)::INT AS lines, list_sum(list_transform(lines, lambda x: x.q)) AS quantity FROM (SELECT l_orderkey AS o_orderkey, list({'q': l_quantity}) AS lines FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY l_orderkey)")
 def to_dict_json(t):
     made = graph.to_json(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", t("lineitem"), "l_orderkey", ["l_linenumber", "l_quantity"], "orders", "lineitem")
