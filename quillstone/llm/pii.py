@@ -273,10 +273,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thre
     scratch = Scratch(spark)
     held = scratch.put(picked.mapInArrow(run, schema))
     both = held.groupBy("votes", "bits").count().orderBy(F.desc("count"), "votes", "bits").limit(patterns).collect()
-    cast: dict[int, int] = {}
-    for r in both:
-        cast[r["votes"]] = cast.get(r["votes"], 0) + r["count"]
-    ordered = sorted(cast.items())
+    ordered = sorted((r["votes"], r["count"]) for r in held.groupBy("votes").count().collect())
     _, _, post = reliabilities(ordered)
     place = {v: i for i, (v, _) in enumerate(ordered)}
     weights = np.zeros((FEATURES + 1, len(CLASSES)))

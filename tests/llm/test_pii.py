@@ -52,6 +52,14 @@ def test_em_finds_the_bad_labeler():
     assert post.argmax(axis=1).tolist() == [1, 3] and table[0][1, 1] > 0.8 and table[2][1, 1] < 0.2
 
 
+def test_em_sees_all_votes(spark, monkeypatch):
+    """The limit on patterns holds for the classifier only."""
+    seen, real = [], pii.reliabilities
+    monkeypatch.setattr(pii, "reliabilities", lambda p: seen.extend(p) or real(p))
+    pii.detect(spark.createDataFrame([(1, "x a@b.example.com y"), (2, "x a@b.example.com y"), (3, "at 190.137.223.204 now")], "doc_id long, text string"), patterns=1).count()
+    assert sorted(n for _, n in seen) == [1, 2]
+
+
 def test_hard_rows(hard, none):
     assert pii.detect(hard).count() == 0 and pii.detect(none).count() == 0
     again = pii.detect(hard.sparkSession.createDataFrame([(None, "x a@b.example.com"), (None, "x a@b.example.com")], "doc_id long, text string"))
