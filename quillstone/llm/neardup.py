@@ -183,21 +183,19 @@ def _alike(a: Column, b: Column) -> Column:
     return share(a, b)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, scratch: Scratch, threshold: float, words: int, name: str) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are alike. Estimates more than MARGIN from the threshold decide; between, the Jaccard similarity of the sets themselves does."""
+def _estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """(a, b, share) of the pairs of nodes whose signatures agree at so many places or more."""
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("sig").alias(f"sig_{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", _alike(F.col("sig_a"), F.col("sig_b")).alias("share"))
-    told = scratch.put(both.where(F.col("share") >= threshold - MARGIN), name)
-    near = told.where(F.col("share") < threshold + MARGIN).select("a", "b")
-    sure = told.where(F.col("share") >= threshold + MARGIN).select("a", "b")
-    if not near.head(1):
-        return sure
-    ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    held = scratch.put(sets(texts, nodes.join(ends, "node", "left_semi"), words), f"{name}-sets")
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", _alike(F.col("sig_a"), F.col("sig_b")).alias("share")).where(F.col("share") >= least)
+
+
+def _verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets (node, set) have a Jaccard similarity at the threshold or above."""
     side = lambda k: held.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    exact = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", shared.alias("s"), (F.size("set_a") + F.size("set_b")).alias("n"))
-    return scratch.put(exact.where(F.col("s") >= threshold * (F.col("n") - F.col("s"))).select("a", "b").union(sure), f"{name}-links")
+    exact = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", shared.alias("s"), (F.size("set_a") + F.size("set_b")).alias("n"))
+    return exact.where(F.col("s") >= threshold * (F.col("n") - F.col("s"))).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -213,7 +211,6 @@ def components(edges: DataFrame) -> DataFrame:
         lower = pairs.groupBy("u").agg(F.min("v").alias("m"))  # ... and the least of its smaller ones
         least = least.join(lower, F.col("v") == F.col("u"), "left").select("v", F.coalesce(lower["m"], least["m"]).alias("m"))
         large = pairs.join(least, "v").select("u", F.col("m").alias("v")).distinct()
-        large = cut(large)
         near = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         pairs = cut(small)
@@ -274,25 +271,26 @@ def grouped(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col:
     bands = nodes.select("node", band.alias("key"))
     full = bands.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
     shared = scratch.put(bands.join(full, "key"), "shared")
-    stars = scratch.put(shared.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = _verified(stars, nodes, texts, scratch, threshold, words, "stars")
-    roots = components(links)
+    stars = scratch.put(shared.where("node != hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    least, sure, near = threshold - MARGIN, F.col("share") >= threshold + MARGIN, F.col("share") < threshold + MARGIN
+    told = scratch.put(_estimated(stars, nodes, least), "told")
+    roots = components(told.where(sure))
     # a bucket may hold nodes that aren't like its hub but like each other
     placed = shared.join(roots, "node", "left").select("key", "node", "members", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key")
     ends = scratch.put(placed.join(mixed, "key", "left_semi").where("members > 2"), "mixed")  # a pair has been compared
-    few = ends.where(F.col("members") <= SMALL)
+    few, many = ends.where(F.col("members") <= SMALL), scratch.put(ends.where(F.col("members") > SMALL).select("node", "root").distinct(), "many")
     x, y = few.select("key", F.col("node").alias("a"), F.col("root").alias("root_a")), few.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
     cross = x.join(y, "key").where("root_a < root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    many = ends.where(F.col("members") > SMALL).select("node", "root").distinct().join(nodes.select("node", "id", "h", "n"), "node")
-    many = scratch.put(many, "many")
+    cross = scratch.put(cross.distinct().join(stars, ["a", "b"], "left_anti"), "cross")
+    told = told.union(scratch.put(_estimated(cross, nodes, least), "told"))
+    wanted = told.where(near).select(F.explode(F.array("a", "b")).alias("node")).union(many.select("node")).distinct()
+    held = scratch.put(sets(texts, nodes.join(wanted, "node", "left_semi"), words), "sets")
     if many.head(1):
-        cross = cross.union(rare_pairs(many.select("node", "root", "n"), scratch.put(sets(texts, many, words), "many-sets"), threshold, scratch))
-    cross = scratch.put(cross.distinct().join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = _verified(cross, nodes, texts, scratch, threshold, words, "cross")
-    if more.head(1):
-        links = links.union(more)
-        roots = components(links)
+        rare = rare_pairs(many.join(nodes.select("node", "n"), "node"), held.join(many, "node", "left_semi"), threshold, scratch)
+        told = told.union(scratch.put(_estimated(rare.join(stars.union(cross), ["a", "b"], "left_anti"), nodes, least), "told"))
+    links = scratch.put(told.where(sure).select("a", "b").union(_verified(told.where(near).select("a", "b"), held, threshold)), "links")
+    roots = components(links)
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("links"))
     told = nodes.select("node", "first", "rows").join(roots, "node", "left").join(ends, "node", "left")
     return rows.select("id", "h", "node", "at"), told.select("node", F.coalesce("root", "node").alias("root"), "first", "rows", F.coalesce("links", F.lit(0)).alias("links"))
