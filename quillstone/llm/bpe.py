@@ -73,6 +73,8 @@ class MergeAutomaton:
 
     def __init__(self, ids: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
         size = max(ids.values()) + 1
+        if size > 1 << 20:
+            raise ValueError(f"ids of tokens must be below {1 << 20}")  # they share a number with states
         self.label: list[bytes] = [b""] * size
         for token, i in ids.items():
             self.label[i] = token
@@ -246,7 +248,10 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id",
 
 
 def decode(tokens: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
-    """Each row's id and the text that its tokens spell. Null tokens: null text. Bytes that aren't UTF-8 become U+FFFD; an id without a token raises."""
+    """Each row's id and the text that its tokens spell. Null tokens: null text; none: empty text. Bytes that aren't UTF-8 become U+FFFD; an id without a token raises.
+
+    Repeated rows and null ids are kept as they are; an empty table gives an empty one; other columns, whatever they are called, are ignored.
+    """
     ship(tokens.sparkSession)
     kind = tokens.schema[id_col].dataType
 

@@ -26,7 +26,7 @@ PATTERNS = 50_000  # commonest patterns of features and votes that the classifie
 THRESHOLD = 0.5
 CONTEXT = 32
 
-CANDIDATE = re.compile(r"[^\s@<>()\[\]{}\"|,;:]+@[^\s@<>()\[\]{}\"|,;:]+|\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b|(?<![\w.+])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)|(?<![\w.])[+(]{0,2}\d(?:[ ().\-/]{0,2}\d){6,}(?![\w])")
+CANDIDATE = re.compile(r"(?<![^\s@<>()\[\]{}\"|,;:])[^\s@<>()\[\]{}\"|,;:]++@[^\s@<>()\[\]{}\"|,;:]++|\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b|(?<![\w.+])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)|(?<![\w.])[+(]{0,2}\d(?:[ ().\-/]{0,2}\d){6,}(?![\w])")
 _EMAIL = re.compile(r"[\w.+%-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", re.UNICODE)
 _IP = re.compile(r"(?:\d{1,3}\.){3}\d{1,3}")
 _PHONE = re.compile(r"\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[-.]\d{3}[-.]\d{4}")
@@ -67,7 +67,7 @@ def iban_ok(s: str) -> bool:
 def _parts(s: str) -> list[int]:
     """Where a run of digits and blanks is cut: before each blank that follows a whole phone, card or other number, and before an address that follows anything else."""
     cuts, at = [], 0
-    while " " in s[at:]:
+    while s.find(" ", at) >= 0:
         whole = [m.end() for p in _ENDED if (m := p.match(s, at))]
         if not whole and s[at] not in "+(" and (m := _IP_AFTER.search(s, at)):
             at = m.end()

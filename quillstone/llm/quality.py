@@ -137,7 +137,10 @@ def classify(docs: DataFrame, model: crf.Crf, id_col: str = "doc_id", text_col:
 
 
 def kept(docs: DataFrame, model: crf.Crf, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows whose text is of quality at the threshold or above, with all their columns."""
+    """The rows whose text is of quality at the threshold or above, with all their columns, whatever they are called.
+
+    Null, empty and blank texts are of quality 0 and go; repeated rows stay or go together; null ids and nulls elsewhere don't matter; long texts are scored whole; an empty table gives an empty one.
+    """
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)

@@ -99,7 +99,10 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule
 
 
 def kept(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that fail no rule, with all their columns."""
+    """The rows that fail no rule, with all their columns, whatever they are called.
+
+    Null, empty and blank texts fail `some_words` and go; repeated rows stay or go together; null ids and nulls elsewhere don't matter; long texts are measured whole; an empty table gives an empty one.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     rows = _measured(docs, text_col, [row], rules).where((compiled(rules) == "") & (F.col(HERE) >= 0))
     return rows.select(*[F.col("__row")[c].alias(c) for c in docs.columns])

@@ -62,12 +62,14 @@ class Shard:
         terms = terms[self.bound[terms] > 0]
         terms = terms[np.argsort(-self.bound[terms], kind="stable")]
         rest = np.append(np.cumsum(self.bound[terms][::-1])[::-1], 0.0)
-        met, least, total = np.zeros(0, dtype=np.int64), -np.inf, self.sum
+        met, least, total, touched = np.zeros(0, dtype=np.int64), -np.inf, self.sum, []
         for n, t in enumerate(terms):
             at = slice(self.offset[t], self.offset[t + 1])
             if rest[n] + SLACK >= least:  # essential
                 docs = self.docs[at]
-                met = np.concatenate([met, docs[total[docs] == 0]])
+                new = docs[total[docs] == 0]
+                touched.append(new)
+                met = np.concatenate([met, new])
                 total[docs] += self.score[at]
             else:
                 met = met[total[met] + rest[n] + SLACK >= least]
@@ -79,7 +81,8 @@ class Shard:
                 least = np.partition(total[met], len(met) - k)[len(met) - k]
         best = met[total[met] + SLACK >= least]
         found = best, total[best].copy()
-        total[:] = 0.0
+        for docs in touched:
+            total[docs] = 0.0
         return found
 
 

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -289,16 +290,22 @@ def redact_text(text: str, threshold: float = 0.0) -> str:
 
 
 def redacted(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", threshold: float = 0.0) -> DataFrame:
-    """The rows with each secret replaced by its format's name in angle brackets, and n_chars, where there is one, of changed texts put right. Null stays null."""
+    """The rows with each secret replaced by its format's name in angle brackets, and n_chars, where there is one, of changed texts put right.
+
+    Null and empty texts stay as they are; long ones are read whole, one after another; repeated rows stay repeated and change alike; an empty table gives an
+    empty one. All other columns, whatever they are called, are kept.
+    """
     ship(docs.sparkSession)
 
     @F.pandas_udf("string")
-    def clean(texts):
-        return texts.map(lambda t: None if t is None else redact_text(t, threshold))
-
-    old = F.col(f"`{text_col}`")
-    out = docs.withColumn("__sr_new", clean(old.cast("string")))
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else redact_text(t, threshold))
+
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    out = docs.select(row, F.col(f"`{text_col}`").cast("string").alias("old")).withColumn("new", clean("old"))
+    changed = F.col("old").isNotNull() & (F.col("new") != F.col("old"))
+    made = {c: F.col("row")[c] for c in docs.columns} | {text_col: F.col("new")}
     if chars_col in docs.columns:
-        changed = old.isNotNull() & (F.col("__sr_new") != old)
-        out = out.withColumn(chars_col, F.when(changed, F.length("__sr_new").cast(docs.schema[chars_col].dataType)).otherwise(F.col(f"`{chars_col}`")))
-    return out.withColumn(text_col, F.col("__sr_new")).drop("__sr_new")
+        made[chars_col] = F.when(changed, F.length("new").cast(docs.schema[chars_col].dataType)).otherwise(F.col("row")[chars_col])
+    return out.select(*[v.alias(c) for c, v in made.items()])

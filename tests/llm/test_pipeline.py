@@ -42,7 +42,7 @@ def test_against_brute_force(spark):
 
 
 def test_stages_return_the_columns_of_documents(spark, hard, tmp_path):
-    extra = hard.select("doc_id", "text", "lang", "source", "n_chars")
+    extra = hard
     for d in ("documents", "labels"):
         (extra if d == "documents" else spark.createDataFrame([(1, 1), (6, 0)], "doc_id long, quality int")).write.parquet(f"{tmp_path}/{d}.parquet")
     for start in (extra, extra.limit(0)):
