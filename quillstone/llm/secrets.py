@@ -27,12 +27,15 @@ from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType,
 from quillstone.cluster import ship
 from quillstone.llm.common import pieces
 
-ALPHA, LABELLED, FLOOR = 0.05, 800, 0.01
-BARE_ODDS = -4.0  # log prior odds of a candidate that no keyword introduces
+ALPHA, LABELLED, FLOOR = 0.005, 800, 0.01
+BENIGN_ALPHA = 0.05  # words have more structure than credentials: states are kept apart sooner
+BARE_ODDS, KEYED_ODDS = -4.0, 2.5  # log prior odds of a candidate that no keyword introduces, and of one that a keyword does
 KEYED = re.compile(
     r"""(?i:api[_-]?key|access[_-]?key|secret|token|passwd|password|pwd|bearer|credential)(?:(?<=[Bb][Ee][Aa][Rr][Ee][Rr])[ \t]+(?=[^\s"'])|[\w-]{0,16}["']?(?:\s*[:=]\s*|\s+(?=["'])))(?:"(?P<dq>[^"\s]{6,})"|'(?P<sq>[^'\s]{6,})'|(?P<raw>[^\s"',;|]{6,}))"""
 )
 BARE = re.compile(r"[A-Za-z0-9_\-.=+/]{20,}")
+LOGIN = re.compile(r"(?<=://)[^\s:@/]{0,64}:(?P<url>[^\s@/]{6,})@")
+BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]{3,40}-----\s+[A-Za-z0-9+/=\s:,.-]{40,}?-----END [A-Z0-9 ]{3,40}-----")
 _PART = re.compile(r"[A-Za-z0-9_\-]{20,}")
 _TAIL = "!?.,;:)]}%*#&$"
 
@@ -67,12 +70,18 @@ FORMATS = {
     "google_api_key": (lambda r: "AIza" + _pick(r, _ALNUM + "_-", 35), True),
     "web_token": (lambda r: "eyJ" + ".".join((_pick(r, _ALNUM + "_-", 33), "eyJ" + _pick(r, _ALNUM + "_-", 60, 120), _pick(r, _ALNUM + "_-", 43))), True),
     "hex_token": (_hex, False),
+    "cloud_secret": (lambda r: _pick(r, _ALNUM + "+/", 40), False),
     "password": (_password, False),
 }
+#: what a block begins with, and so many signs of its body, are scored for the whole of it; without a name: blocks that anyone may see
+OPEN_BLOCKS = ("CERTIFICATE", "PUBLIC KEY", "RSA PUBLIC KEY", "CERTIFICATE REQUEST", "PGP SIGNATURE", "PGP PUBLIC KEY BLOCK", "X509 CRL", "DH PARAMETERS", "EC PARAMETERS", "PKCS7")
+BLOCKS = {"private_key": lambda r: f"-----BEGIN {r.choice(('', 'RSA ', 'EC ', 'DSA ', 'OPENSSH ', 'ENCRYPTED '))}PRIVATE KEY-----{_pick(r, _ALNUM + '+/', 40)}", "": lambda r: f"-----BEGIN {r.choice(OPEN_BLOCKS)}-----{_pick(r, _ALNUM + '+/', 40)}"}
 
 
 def _benign(rng: random.Random) -> str:
-    syllables = ("an er in on re th en at or es st ti ou ha nd ing the and ed to is it al ar ve le con com per pro der ein che la que os ment tion").split()
+    syllables = ("an er in on re th en at or es st ti ou ha nd ing the and ed to is it al ar ve le con com per pro der ein che la que os ment tion "
+        "ce ti fi ca ma na ge me do cu si ra tu li mi no sa se so su ta te ab ac ad ap as au be bi bo bu cl cr da di du fa fe fl fo fr ga gi go gr ha hi ho hu ib ic id if ig il im ir iv ke ki li lo lu mo mu ne ni nu ob oc od og ol om on op or pa pe pi pl po pu qu re ri ro ru sc sh sk sl sp str sw ten ter tic tor tra tri tru ty ub uc ul um un ur us va vi vo wa we wi wo yst ack ick ell ill all est ist ast ant ate ive ous ful ble ness less ship age ance ence ity ing "
+        "keit heit ung lich sch ver auf aus zu ein ig isch tät ción dad mente ado ido ando aire eur eux ique ette age").split()
     word = lambda n: "".join(rng.choices(syllables, k=n))
     kind = rng.randrange(8)
     if kind < 4:
@@ -147,6 +156,11 @@ def alergia(samples: list[str], alpha: float = ALPHA) -> Automaton:
                     work.append((kids[a][c], kids[b][c]))
         return True
 
+    def likely(x: int, q: int) -> float:
+        """How likely state x makes what was seen of q: of few examples much is compatible, but not all fits as well."""
+        n = total(x)
+        return sum(f * math.log(flow[x].get(c, 0) / n * (1 - FLOOR) + FLOOR / 95) for c, f in flow[q].items()) + ends[q] * math.log(max(ends[x], FLOOR) / n)
+
     def fold(a: int, b: int) -> None:
         work = [(a, b)]
         while work:
@@ -167,7 +181,7 @@ def alergia(samples: list[str], alpha: float = ALPHA) -> Automaton:
         if blue is None:
             break
         r, c, q = blue
-        into = next((x for x in sorted(red, key=total, reverse=True) if compatible(x, q)), None)
+        into = max((x for x in red if compatible(x, q)), key=lambda x: (likely(x, q), total(x)), default=None)
         if into is None:
             red.append(q)
         else:
@@ -188,7 +202,8 @@ def automata(labelled: int = LABELLED, seed: int = 7) -> tuple[dict[str, Automat
     """Automata of the formats and of benign strings, inferred from so many labelled examples each."""
     rng = random.Random(seed)
     made = {name: alergia([make(rng) for _ in range(labelled)]) for name, (make, _) in FORMATS.items()}
-    benign = alergia([_benign(rng) for _ in range(4 * labelled)])
+    made |= {name: alergia([make(rng) for _ in range(labelled)]) for name, make in BLOCKS.items()}
+    benign = alergia([_benign(rng) for _ in range(4 * labelled)], BENIGN_ALPHA)
     floor = math.log(1 / 200)  # any benign string may have any length
     benign.length = {k: max(v, floor) for k, v in benign.length.items()}
     return made, Automaton(benign.arcs, benign.stop, benign.length, math.log(1 / 150))
@@ -200,8 +215,17 @@ def score(value: str, keyed: bool) -> tuple[str, float]:
     base = benign.score(value) - benign.length.get(len(value), benign.other * 1.5) + math.log(1 / 60)
     if not keyed:  # what stands alone may also be random without being a secret
         base = max(base, -4.2 * len(value))
-    best = max(((name, a.score(value)) for name, a in made.items() if keyed or FORMATS[name][1]), key=lambda x: x[1])
-    return best[0], best[1] - base + (0.0 if keyed else BARE_ODDS)
+    best = max(((name, a.score(value)) for name, a in made.items() if name in FORMATS and (keyed or FORMATS[name][1])), key=lambda x: x[1])
+    return best[0], best[1] - base + (KEYED_ODDS if keyed else BARE_ODDS)
+
+
+def score_block(block: str) -> tuple[str, float]:
+    """The likeliest kind of a block between lines of hyphens, and its log odds, by its first line and the first signs of its body."""
+    made, _ = automata()
+    begins = block[: block.index("-----", 5) + 5]
+    value = begins + re.sub(r"\s+|[A-Za-z-]+: .*", "", block[len(begins) : len(begins) + 400])[:40]
+    best = max(((name, made[name].score(value)) for name in BLOCKS if name), key=lambda x: x[1])
+    return best[0], best[1] - made[""].score(value)
 
 
 @cache
@@ -241,11 +265,18 @@ def findings(text: str) -> list[tuple[int, int, str, float]]:
         spans[a, b] = True
         if m.lastgroup == "raw":  # the last signs may be the sentence's
             spans[a, a + len(m["raw"].rstrip(_TAIL))] = True
+            if "&" in m["raw"]:  # a parameter of an address
+                spans[a, a + m["raw"].index("&")] = True
         m = KEYED.search(text, a)  # the value may be the next one's keyword
+    if "://" in text:
+        for m in LOGIN.finditer(text):
+            spans[m.span("url")] = True
     for m in BARE.finditer(text):
         for a, b in _within(m[0]):
             spans.setdefault((m.start() + a, m.start() + b), False)
     scored = [(*score(text[a:b], keyed), a, b) for (a, b), keyed in spans.items() if b - a >= 6]
+    if "-----BEGIN" in text:
+        scored += [(*score_block(m[0]), *m.span()) for m in BLOCK.finditer(text)]
     out, taken = [], []
     for name, odds, a, b in sorted(scored, key=lambda x: (-x[1], x[2] - x[3], x[2])):
         k = bisect(taken, (a, b))
