@@ -20,11 +20,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only where none is set (tests), one of our own."""
+    """The cluster's checkpoint folder; where none is set, one of our own on a local master (tests) and an error on any other."""
     sc = spark.sparkContext
     told = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
         if told is None:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             told = "file://" + tempfile.mkdtemp(prefix="quillstone-")
         sc.setCheckpointDir(told)
     return (told or sc.getCheckpointDir()).rstrip("/")

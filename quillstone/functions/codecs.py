@@ -246,9 +246,25 @@ class LocalPathCodec(StringCodec):
     """A path as text; whether it exists depends on the machine and isn't checked on a cluster."""
 
 
+#: Dates, with times of day or without, as people and programs write them; brackets hold what may be missing.
+_DAYS = ("yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "MMM d yyyy", "MMMM d yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d.M.yyyy")
+STAMPS = (
+    *(f"{d}[ H:mm[:ss[.SSSSSSSSS]][[ ]XXX]]" for d in _DAYS), "yyyy-M-d'T'H:mm[:ss[.SSSSSSSSS]][XXX]", "yyyy-M-d'T'H:mm[:ss[.SSSSSSSSS]][XX]", "yyyyMMdd['T'HHmm[ss]][XXX]",
+    *(f"{d} h:mm[:ss] a" for d in _DAYS), "yyyy-MM", "MMMM yyyy", "MMM yyyy",
+)
+
+
+def stamp(s: Column) -> Column:
+    """The moment that text in one of the usual ways of writing it means, null for others; one with an offset is as the session's time zone has it."""
+    bare = F.regexp_replace(F.regexp_replace(s, r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,? ", ""), r"(?i)(\d)(?:st|nd|rd|th)\b", "$1")
+    text = F.when(s.rlike("[A-Za-z]{3}"), F.initcap(bare)).otherwise(F.upper(s))
+    text = F.regexp_replace(F.regexp_replace(text, r"\b[Aa]m\b", "AM"), r"\b[Pp]m\b", "PM")
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in STAMPS])
+
+
 @dataclass
 class DateCodec(Codec):
-    """ISO and common text dates; a number n is the day n - 1 days after 1 January 1900."""
+    """Text in one of the usual ways of writing a date (STAMPS), without a time of day other than midnight; a number n is the day n - 1 days after 1 January 1900."""
 
     spark_type = "date"
 
@@ -256,8 +272,7 @@ class DateCodec(Codec):
         s = F.trim(c.cast("string"))
         n = s.try_cast("double")
         serial = F.when((n == F.floor(n)) & n.between(1, 2958465), F.date_add(F.lit("1900-01-01").cast("date"), (n - 1).cast("int")))
-        stamps = [F.try_to_timestamp(s, F.lit(f)) for f in ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/M/d", "M/d/yyyy", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy")]
-        t = F.coalesce(*stamps)
+        t = stamp(s)
         return F.coalesce(serial, F.when(F.date_trunc("day", t) == t, t.cast("date")))
 
     def checks(self, c):
@@ -295,8 +310,7 @@ class DateTimeCodec(Codec):
         n = s.try_cast("double")
         days, rest = F.floor(n), F.round((n - F.floor(n)) * 86400)
         serial = F.when(n.between(1, 2958465), F.timestamp_seconds(F.unix_date(F.date_add(F.lit("1900-01-01").cast("date"), (days - 1).cast("int"))) * 86400 + rest))
-        stamps = [F.try_to_timestamp(s, F.lit(f)) for f in ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "M/d/yyyy HH:mm:ss", "M/d/yyyy")]
-        return F.coalesce(*stamps, serial).cast("timestamp_ntz")
+        return F.coalesce(stamp(s), serial).cast("timestamp_ntz")
 
     def serialize(self, c):
         return F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), F.lit(""))
@@ -416,7 +430,11 @@ class JsonCodec(Codec):
 
 
 class NoTypeError(ValueError):
-    """A type that isn't registered."""
+    """A type that isn't registered, or an option that it doesn't have."""
+
+
+#: Options that say something of the column, not of its values, or that only the libraries behind a type understand.
+ELSEWHERE = {"verbose_name", "description", "help", "init_value", "none_value", "primary", "unique", "unique_case_insensitive", "default_cleaned_value", "enum_class", "registry", "ontology", "namespace", "namespaces", "primary_units", "primary_structures", "dtype", "default_for_export", "language"}
 
 
 def codec(kind: str, **options) -> Codec:
@@ -427,5 +445,7 @@ def codec(kind: str, **options) -> Codec:
     if name not in REGISTRY:
         raise NoTypeError(f"no attribute type {kind!r}")
     cls = REGISTRY[name]
-    known = {f for f in cls.__dataclass_fields__}
+    known = set(cls.__dataclass_fields__)
+    if bad := set(options) - known - ELSEWHERE:
+        raise NoTypeError(f"{kind} has no option {sorted(bad)}")
     return cls(**{k: v for k, v in options.items() if k in known})

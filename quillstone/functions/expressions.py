@@ -232,6 +232,35 @@ def rewrite(p: Parsed, name: Callable[[str, str], str]) -> str:
     return re.sub(r"\bv(\d+)\b", lambda m: name(*p.terms[int(m[1])]), p.body)
 
 
+def terms(df: DataFrame, key: str, column: str, known: dict[str, list[str]], dynamic: tuple[str, ...] = ()) -> DataFrame:
+    """(key, model, id, linear, dynamic, error): a row for each reference of each formula of a column, whether the formula is linear, and whether it refers to a model whose values change with time.
+    A formula that can't be read has one row with its error; one without references has one without a model. Equal formulas of a batch are read once."""
+    from quillstone.functions.grammar import parse_cells
+
+    def parser(text: str):
+        p = parse(text, known)
+        linear, moves = coefficients(p) is not None, any(m in dynamic for m, _ in p.terms)
+        return [(m, i, linear, moves) for m, i in p.terms] or [(None, None, linear, False)]
+
+    return parse_cells(df, key, column, parser, "model string, id string, linear boolean, dynamic boolean")
+
+
+def checked(p: Parsed, values: dict[tuple[str, str], float] | None = None, kind: type = float, linear: bool = False, terms: int | None = None) -> list[str]:
+    """What is wrong with a formula: its value, with ones for terms that have none, isn't of the kind, it isn't linear or hasn't so many terms."""
+    wrong = []
+    try:
+        value = evaluate(p, {t: (values or {}).get(t, 1.0) for t in p.terms})
+        if kind is bool and not isinstance(value, bool) or kind is float and (isinstance(value, bool) or not isinstance(value, (int, float))):
+            wrong.append(f"{p.text!r} gives {value!r}, not a {kind.__name__}")
+    except (ArithmeticError, ValueError) as e:
+        wrong.append(f"{p.text!r} can't be evaluated: {e}")
+    if linear and coefficients(p) is None:
+        wrong.append(f"{p.text!r} isn't linear")
+    if terms is not None and len(p.terms) != terms:
+        wrong.append(f"{p.text!r} has {len(p.terms)} terms, not {terms}")
+    return wrong
+
+
 def compile_nested(formulas: dict[tuple[str, str], str], known: dict[str, list[str]], values: dict[tuple[str, str], Column]) -> dict[tuple[str, str], Column]:
     """Columns of formulas that refer to each other by (model, id): each is compiled once, those that others need first. A circle is an error."""
     parsed = {k: parse(t, known) for k, t in formulas.items()}

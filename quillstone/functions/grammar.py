@@ -5,13 +5,22 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from quillstone.cluster import ship
 
 
+def related_rows(cells: DataFrame, key: str, have: DataFrame, on: list[str], name: Callable[[], Column]) -> tuple[DataFrame, DataFrame]:
+    """What parsed cells (key, columns of the related model, error) refer to: the related rows, with those added that weren't there yet (their key `id` made by
+    name(), a function of the other columns), and the edges (key, id). on: the columns by which a row is known. Rows of cells in error are left out."""
+    good = cells.where("error is null").drop("error")
+    new = good.drop(key).dropDuplicates(on).join(have.select(*on), on, "left_anti").withColumn("id", name())
+    rows = have.unionByName(new, allowMissingColumns=True)
+    return rows, good.select(key, *on).join(rows.select("id", *on), on).select(key, "id").distinct()
+
+
 def parse_cells(df: DataFrame, key: str, cell: str, parser: Callable[[str], Iterable[tuple]], schema: str) -> DataFrame:
     """(key, columns of schema, error): parser(text) gives the rows of each distinct text of a batch; a ValueError becomes the error. Blank cells have no rows, equal rows of a cell are one."""
     ship(df.sparkSession)

@@ -31,17 +31,28 @@ def _codec(kind: str) -> Codec:
 
 
 def _pairs(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Rows (l, r) of equal keys, or with a null for the side that lacks one. Null keys equal each other; whatever the columns are called, they are inside l and r."""
     l = left.select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("l"))
     r = right.select(F.struct(*[F.col(f"`{c}`") for c in right.columns]).alias("r"))
-    same = reduce(lambda a, b: a & b, [F.col(f"l.`{k}`") == F.col(f"r.`{k}`") for k in on])
-    return l.join(r, same, "full_outer").select(*[F.coalesce(F.col(f"l.`{k}`"), F.col(f"r.`{k}`")).alias(k) for k in on], "l", "r")
+    same = reduce(lambda a, b: a & b, [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in on])
+    return l.join(r, same, "full_outer")
 
 
-def diff(left: DataFrame, right: DataFrame, on: list[str], tol: float = 0.0, codecs: dict[str, Codec] | None = None) -> DataFrame:
+def _keys(on: list[str]) -> list[Column]:
+    if bad := {"status", "attr", "left", "right", "in_left"} & set(on):
+        raise ValueError(f"keys can't be called {sorted(bad)}")
+    return [F.coalesce(F.col(f"l.`{k}`"), F.col(f"r.`{k}`")).alias(k) for k in on]
+
+
+def diff(left: DataFrame, right: DataFrame, on: list[str], tol: float = 0.0, codecs: dict[str, Codec] | None = None, strict: bool = False) -> DataFrame:
     """One row for each difference: (keys, status, attr, left, right). status is left_only, right_only or changed.
 
-    One full outer join on the keys, which must be unique on each side; tolerances are relative to the left value.
+    One full outer join on the keys, which must be unique on each side (null keys equal each other); tolerances are relative to the left value.
+    Columns that only one side has are compared with nulls where `strict`, and otherwise left out.
     """
+    if strict:
+        left = left.withColumns({c: F.lit(None).cast(right.schema[c].dataType) for c in right.columns if c not in left.columns})
+        right = right.withColumns({c: F.lit(None).cast(left.schema[c].dataType) for c in left.columns if c not in right.columns})
     kinds = dict(left.dtypes)
     shared = [c for c in left.columns if c in right.columns and c not in on]
     row = lambda a, x, y: F.struct(F.lit(a).alias("attr"), x.cast("string").alias("left"), y.cast("string").alias("right"))
@@ -55,7 +66,8 @@ def diff(left: DataFrame, right: DataFrame, on: list[str], tol: float = 0.0, cod
     none = row("", F.lit(None), F.lit(None))
     found = F.when(F.col("r").isNull() | F.col("l").isNull(), F.array(none)).otherwise(F.array_compact(F.array(*map(changed, shared))) if shared else F.array().cast("array<struct<attr:string,left:string,right:string>>"))
     status = F.when(F.col("r").isNull(), "left_only").when(F.col("l").isNull(), "right_only").otherwise("changed")
-    return pairs.select(*on, status.alias("status"), F.explode(found).alias("d")).select(*on, "status", "d.attr", "d.left", "d.right")
+    keys = [F.col(f"`{k}`") for k in on]
+    return pairs.select(*_keys(on), status.alias("status"), F.explode(found).alias("d")).select(*keys, "status", "d.attr", "d.left", "d.right")
 
 
 def is_equal(left: DataFrame, right: DataFrame, on: list[str], tol: float = 0.0) -> bool:
@@ -66,13 +78,14 @@ def is_equal(left: DataFrame, right: DataFrame, on: list[str], tol: float = 0.0)
 def collection_diff(left: DataFrame, right: DataFrame, key: str, column: str, symmetric: bool = False) -> DataFrame:
     """(key, kind, item) of to-many collections: of different length (`length`, "a != b"), else items only on the left (and, if
     symmetric, only on the right)."""
-    pairs = left.select(F.col(f"`{key}`"), F.col(f"`{column}`").alias("a")).join(right.select(F.col(f"`{key}`"), F.col(f"`{column}`").alias("b")), key)
+    side = lambda d, k, c: d.select(F.col(f"`{key}`").alias(k), F.col(f"`{column}`").alias(c))
+    pairs = side(left, "__k", "a").join(side(right, "__j", "b"), F.col("__k").eqNullSafe(F.col("__j")))
     one = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.cast("string").alias("item"))
     lost = lambda kind, x, y: F.transform(F.array_except(x, y), lambda i: one(kind, i))
     a, b = F.col("a"), F.col("b")
     same = F.concat(lost("left_only", a, b), lost("right_only", b, a)) if symmetric else lost("left_only", a, b)
     length = F.array(one("length", F.concat_ws(" != ", F.size(a), F.size(b))))
-    return pairs.select(key, F.explode(F.when(F.size(a) != F.size(b), length).otherwise(same)).alias("d")).select(key, "d.kind", "d.item")
+    return pairs.select("__k", F.explode(F.when(F.size(a) != F.size(b), length).otherwise(same)).alias("d")).select(F.col("__k").alias(key), "d.kind", "d.item")
 
 
 class MergeConflict(ValueError):
@@ -86,7 +99,7 @@ def merge_conflicts(left: DataFrame, right: DataFrame, on: list[str], references
     """
     if append:
         both = _pairs(left, right, on).where("l is not null and r is not null")
-        return both.select(*on, F.lit("__type").alias("attr"), F.lit("both").alias("left"), F.lit("both").alias("right"))
+        return both.select(*_keys(on), F.lit("__type").alias("attr"), F.lit("both").alias("left"), F.lit("both").alias("right"))
     references = references or []
     bad = diff(left, right, on).where("status = 'changed'").drop("status")
     return bad.where(~F.col("attr").isin(references) | (F.col("left").isNotNull() & F.col("right").isNotNull())) if references else bad
@@ -119,5 +132,6 @@ def merge_edges(left: DataFrame, right: DataFrame, one_parent: bool = False, che
 
 def merge_map(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """(keys, in_left) of every row of right. Keys must be unique on either side."""
-    keys = left.select(*on).distinct().withColumn("in_left", F.lit(True))
-    return right.select(*on).join(keys, on, "left").select(*on, F.coalesce("in_left", F.lit(False)).alias("in_left"))
+    names = [F.col(f"`{k}`") for k in on]
+    pairs = _pairs(left.select(*names).distinct(), right.select(*names), on)
+    return pairs.where("r is not null").select(*_keys(on), F.col("l").isNotNull().alias("in_left"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.cluster import cut as cut_lineage
-from quillstone.functions.text import split_list
+from quillstone.functions.text import join_list, split_list
 from quillstone.operators.relate import all_edges
 from quillstone.operators.validate import validate
 from quillstone.schema import Catalog
@@ -71,6 +73,33 @@ def reached(tables: dict[str, DataFrame], catalog: Catalog, start: DataFrame, bo
     return out
 
 
+def copied(tables: dict[str, DataFrame], catalog: Catalog, start: DataFrame, name: Callable[[str, Column], Column]) -> dict[str, DataFrame]:
+    """Copies of everything that relations lead to from the start objects (type, pk), under new keys: name(model, key) gives the new key of an old one. References among
+    the copies lead to the copies, so that they share nothing with what was copied."""
+    out = {}
+    for t, df in reached(tables, catalog, start).items():
+        m = catalog[t]
+        made = {m.primary: name(t, F.col(f"`{m.primary}`"))}
+        for r in m.relations.values():
+            if r.name in df.columns:
+                c = F.col(f"`{r.name}`")
+                made[r.name] = join_list(F.transform(split_list(c), lambda x, to=r.to: name(to, x).cast("string"))) if r.many else F.when(c.isNotNull(), name(r.to, c))
+        out[t] = df.select(*[(made[c].cast(df.schema[c].dataType) if c in made else F.col(f"`{c}`")).alias(c) for c in df.columns])
+    return out
+
+
+def described(tables: dict[str, DataFrame], catalog: Catalog) -> DataFrame:
+    """(type, pk, text): every object as lines of text for people, its attributes in the order of display; references by their keys."""
+    out = None
+    for t, df in tables.items():
+        m = catalog[t]
+        line = lambda c: F.concat(F.lit(f"  {c}: "), F.coalesce((m.attributes[c].codec.serialize(F.col(f"`{c}`")) if c in m.attributes else F.col(f"`{c}`").cast("string")), F.lit("")))  # noqa: E731, B023
+        pk = F.col(f"`{m.primary}`").cast("string") if m.primary else F.lit(None).cast("string")
+        rows = df.select(F.lit(t).alias("type"), pk.alias("pk"), F.concat_ws("\n", F.concat(F.lit(f"{t}: "), F.coalesce(pk, F.lit(""))), *[line(c) for c in m.columns() if c in df.columns]).alias("text"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def related_errors(tables: dict[str, DataFrame], catalog: Catalog, start: DataFrame, text: bool = False) -> DataFrame:
     """The violations of everything that is related to the start objects."""
     return validate(reached(tables, catalog, start), catalog, text)

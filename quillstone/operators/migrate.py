@@ -5,12 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.schema import Attribute, Catalog, SchemaError
 
 
+def _mapping(path: str) -> dict:
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        if path.endswith(".json"):
+            return json.load(f)
+        import yaml
+
+        return yaml.safe_load(f)
+
+
 @dataclass
 class Changes:
     """What names alone don't tell: renamed models (old, new) and attributes ((old model, old), (new model, new)); before and after: functions over the tables."""
@@ -20,19 +31,10 @@ class Changes:
     before: Callable[[dict[str, DataFrame]], dict[str, DataFrame]] | None = None
     after: Callable[[dict[str, DataFrame]], dict[str, DataFrame]] | None = None
 
-
     @classmethod
     def load(cls, path: str) -> Changes:
         """From a JSON or YAML file with renamed_models and renamed_attributes; other keys are an error."""
-        import json
-
-        with open(path, encoding="utf-8") as f:
-            if path.endswith(".json"):
-                data = json.load(f)
-            else:
-                import yaml
-
-                data = yaml.safe_load(f)
+        data = _mapping(path)
         if bad := set(data) - {"renamed_models", "renamed_attributes"}:
             raise SchemaError(f"unknown keys {sorted(bad)} in {path}")
         pair = lambda x: (str(x[0]), str(x[1]))
@@ -112,6 +114,66 @@ def over_sequence(data: dict[str, DataFrame], steps: list[tuple[Catalog, Catalog
     return data
 
 
+def order(old: Catalog, new: Catalog, changes: Changes | None = None) -> list[str]:
+    """The new schema's models as files have them: those that the old one had in its order, under their new names, then the added ones by name."""
+    kept = [n for n, _ in plan(old, new, changes or Changes()).values()]
+    return [*kept, *sorted(n for n in new.models if n not in kept)]
+
+
+def migrate_file(spark: SparkSession, source: str, to: str, old: Catalog, new: Catalog, changes: Changes | None = None, strict=None, expressions: dict[str, list[str]] | None = None, **how) -> None:
+    """A dataset's file under the new schema, its models in their old order. expressions: old model -> its columns that hold formulas, whose references follow the renames. how: as in write()."""
+    from quillstone.operators.validate import clean
+    from quillstone.sources.read import read
+    from quillstone.sources.write import write
+
+    changes = changes or Changes()
+    data = read(spark, source, old, strict)
+    tables = {n: clean(d, old[n], catalog=old) for n, d in data.tables.items()}
+    renames = {(a, ""): (b, "") for a, b in changes.renamed_models}
+    for m, columns in (expressions or {}).items():
+        for c in columns:
+            tables[m] = rename_references(tables[m], c, renames)
+    made = migrate(tables, old, new, changes)
+    write(to, {n: made[n] for n in order(old, new, changes) if n in made}, new, data.document, **how)
+
+
+@dataclass
+class Spec:
+    """A migration of files over a sequence of schemas: schemas[i] to schemas[i + 1] by changes[i]; each file goes to the place of the same number in `to`, or over itself."""
+
+    schemas: list[str]
+    changes: list[str | None]
+    files: list[str]
+    to: list[str] = field(default_factory=list)
+
+    @classmethod
+    def load(cls, path: str) -> Spec:
+        """From JSON or YAML with these four keys; inconsistencies are errors."""
+        data = _mapping(path)
+        if bad := set(data) - {"schemas", "changes", "files", "to"}:
+            raise SchemaError(f"unknown keys {sorted(bad)} in {path}")
+        spec = cls(data.get("schemas") or [], data.get("changes") or [None] * (len(data.get("schemas") or []) - 1), data.get("files") or [], data.get("to") or [])
+        if len(spec.schemas) < 2 or len(spec.changes) != len(spec.schemas) - 1 or not spec.files or spec.to and len(spec.to) != len(spec.files):
+            raise SchemaError(f"{path}: two schemas at least, changes for each step and files are needed")
+        return spec
+
+    def run(self, spark: SparkSession) -> list[str]:
+        """Migrates every file; the places of the results."""
+        from quillstone.operators.validate import clean
+        from quillstone.schema import read_schema
+        from quillstone.sources.read import read
+        from quillstone.sources.write import write
+
+        catalogs = [read_schema(s) for s in self.schemas]
+        steps = [(a, b, Changes.load(c) if c else Changes()) for a, b, c in zip(catalogs, catalogs[1:], self.changes)]
+        out = self.to or self.files
+        for source, to in zip(self.files, out):
+            data = read(spark, source, catalogs[0])
+            made = over_sequence({n: clean(d, catalogs[0][n], catalog=catalogs[0]) for n, d in data.tables.items()}, steps)
+            write(to, {n: made[n] for n in order(*steps[-1]) if n in made}, catalogs[-1], data.document)
+        return out
+
+
 def unused(data: dict[str, DataFrame], catalog: Catalog) -> DataFrame | None:
     """(model, attr, defaults, rows): in how many rows each attribute still has its default; one pass over each table."""
     parts = []
@@ -129,8 +191,13 @@ def unused(data: dict[str, DataFrame], catalog: Catalog) -> DataFrame | None:
 
 
 def rename_references(expressions: DataFrame, column: str, renames: dict[tuple[str, str], tuple[str, str]]) -> DataFrame:
-    """Formulas whose `Model.id` references of renamed models are written anew."""
-    c = F.col(f"`{column}`")
-    for (m, _), (n, _) in renames.items():
-        c = F.regexp_replace(c, rf"\b{m}\.(?=\w)", f"{n}.")
-    return expressions.withColumn(column, c)
+    """Formulas whose `Model.id` references of renamed models are written anew: all names in one pass, so that chains and swaps of names don't meet."""
+    names = {m: n for (m, _), (n, _) in renames.items() if m != n}
+    if not names:
+        return expressions
+    new = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    parts = F.regexp_extract_all(F.col(f"`{column}`"), F.lit(r"([A-Za-z_]\w*|[^A-Za-z_]+)"), F.lit(1))
+    near = lambda i: F.coalesce(F.get(F.col("__parts"), i), F.lit(""))
+    is_model = lambda i: near(i + 1).startswith(".") & ~near(i - 1).endswith(".")  # noqa: E731 - not an id inside a longer path
+    made = F.transform("__parts", lambda x, i: F.when(is_model(i), F.coalesce(F.try_element_at(new, x), x)).otherwise(x))
+    return expressions.withColumn("__parts", parts).withColumn(column, F.array_join(made, "")).drop("__parts")

@@ -81,10 +81,19 @@ def to_cell(children: DataFrame, reference: str, columns: list[str], dialect: st
     if dialect == "json":
         return rows.select(f"`{reference}`", F.to_json("__items").alias(name))
     sep = "\t" if dialect == "tsv" else ","
-    cell = lambda x: F.array_join(F.array(*[F.coalesce(x[c].cast("string"), F.lit("")) for c in columns]), sep)
+    cell = lambda x: F.array_join(F.array(*[_quoted(F.coalesce(x[c].cast("string"), F.lit("")), sep) for c in columns]), sep)
     return rows.select(f"`{reference}`", F.concat(F.lit(sep.join(columns) + "\n"), F.array_join(F.transform("__items", cell), "\n")).alias(name))
 
 
+def _quoted(c: Column, sep: str) -> Column:
+    """A value of a separated text: in quotes, with its own doubled, where it holds a separator, a quote or a line break."""
+    return F.when(c.rlike(f'[{sep}"\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+
+
+def _unquoted(x: Column) -> Column:
+    return F.when(x.startswith('"'), F.replace(x.substr(F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)
+
+
 def from_cell(df: DataFrame, key: str, cell: str, schema: str, dialect: str = "json") -> DataFrame:
     """(key and the columns of schema): the rows inside cells, equal ones of a cell made one. Inverse of to_cell."""
     c = F.col(f"`{cell}`")
@@ -92,11 +101,13 @@ def from_cell(df: DataFrame, key: str, cell: str, schema: str, dialect: str = "j
         items = F.from_json(c, f"array<struct<{schema}>>")
     else:
         sep = "\t" if dialect == "tsv" else ","
-        lines = F.split(c, "\n")
         names = [x.split(":")[0].strip() for x in schema.split(",")]
         kinds = [x.split(":")[1].strip() for x in schema.split(",")]
-        cells = lambda line: F.split(line, sep)
-        items = F.transform(F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.struct(*[F.get(cells(x), k).try_cast(t).alias(n) for k, (n, t) in enumerate(zip(names, kinds))]))
+        value = rf'(?:"(?:[^"]|"")*"|[^"{sep}\n][^{sep}\n]*|)'
+        line = rf"{value}(?:{sep}{value})*"
+        lines = F.slice(F.regexp_extract_all(F.concat(c, F.lit("\n")), F.lit(rf"({line})\n"), F.lit(1)), F.lit(2), F.lit(1 << 30))
+        cells = lambda x: F.transform(F.regexp_extract_all(F.concat(x, F.lit(sep)), F.lit(rf"({value}){sep}"), F.lit(1)), _unquoted)
+        items = F.transform(lines, lambda x: F.struct(*[F.get(cells(x), k).try_cast(t).alias(n) for k, (n, t) in enumerate(zip(names, kinds))]))
     return df.select(F.col(f"`{key}`"), F.explode(F.array_distinct(items)).alias("__x")).select(f"`{key}`", "__x.*")
 
 

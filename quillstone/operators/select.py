@@ -93,6 +93,42 @@ def set_where(df: DataFrame, column: str, value, **match) -> DataFrame:
     return df.withColumn(column, F.when(F.coalesce(hit, F.lit(False)), F.lit(value)).otherwise(F.col(f"`{column}`")))
 
 
+def steps_of(path: str | list | tuple) -> list[tuple[str, dict]]:
+    """An attribute path in its one normal form: (name, filter) pairs, from `a.b`, ["a", "b"] or [("a", {...}), ["b"]]. Two paths are the same where these are equal."""
+    parts = path.split(".") if isinstance(path, str) else list(path)
+    if not parts or any(not p for p in parts):
+        raise ValueError("an attribute path needs names")
+    return [(p, {}) if isinstance(p, str) else (p[0], dict(p[1]) if len(p) > 1 else {}) for p in parts]
+
+
+def set_path(data: dict[str, DataFrame], catalog: Catalog, model: str, path: str | list, value, **match) -> dict[str, DataFrame]:
+    """The dataset after the attribute at the end of a path was set for the rows of a model that match. What leads there may be shared: whoever refers to
+    the same object sees the new value. One table changes: a join with the keys that the path leads to."""
+    *way, (last, own) = steps_of(path)
+    if own:
+        raise ValueError("the last step of a path that is set can't have a filter")
+    at = model
+    for _, name, backwards in catalog.path(model, [n for n, _ in way]):
+        at = next(x.name for x in catalog.models.values() for r in x.relations.values() if r.to in catalog.lineage(at) and r.back == name) if backwards else catalog[at].relations[name].to
+    if last not in catalog[at].columns():
+        raise KeyError(f"{at} has no attribute {last}")
+    rows = where(data[model], **match)
+    keys = follow(data | {model: rows}, catalog, model, [*way], "__to").select("__to") if way else rows.select(F.col(f"`{catalog[model].primary}`").alias("__to"))
+    keys = keys.where("__to is not null").distinct().withColumn("__hit", F.lit(True))
+    df, kind = data[at], data[at].schema[last].dataType
+    c = F.when(F.col("__hit"), F.lit(value).cast(kind)).otherwise(F.col(f"`{last}`"))
+    out = df.join(keys, F.col(f"`{catalog[at].primary}`") == F.col("__to"), "left").withColumn(last, c).select(*[F.col(f"`{x}`") for x in df.columns])
+    return data | {at: out}
+
+
+def upsert(df: DataFrame, new: DataFrame, on: list[str]) -> DataFrame:
+    """The rows with those of `new` in place of rows of the same key, and its other rows added; of several new rows of a key any one is taken. Null keys equal each other."""
+    fresh = new.dropDuplicates(on).select(*[F.col(f"`{c}`") if c in new.columns else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+    keys = fresh.select(*[F.col(f"`{k}`").alias(f"__{k}") for k in on])
+    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`__{k}`")) for k in on])
+    return df.join(keys, same, "left_anti").unionByName(fresh)
+
+
 def attributes(model: Model, kind: str | None = None, literal: bool = True, related: bool = True) -> list[str]:
     """Names of a model's attributes, of one kind of codec or relation if asked."""
     own = [a.name for a in model.attributes.values() if literal and kind in (None, a.codec.kind)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -173,15 +174,24 @@ def by_model(violations: DataFrame) -> DataFrame:
     return violations.groupBy("model", "attr", "message").agg(F.count("*").alias("n"))
 
 
-def report(violations: DataFrame, most: int = 1000) -> str:
-    """An indented report of at most so many violations, in natural order, for people to read."""
-    rows = violations.orderBy("model", natural_key(F.coalesce("pk", F.lit(""))), "attr", "message").limit(most).collect()
-    lines, at = [], (None, None)
-    for r in rows:
+def report_lines(violations: DataFrame) -> Iterator[str]:
+    """Lines of an indented report of all violations, in natural order, for people to read; partition by partition, so that the driver holds few of them."""
+    at: tuple = (None, None)
+    for r in violations.orderBy("model", natural_key(F.coalesce("pk", F.lit(""))), "attr", "message", "value").toLocalIterator():
         if r["model"] != at[0]:
-            lines.append(f"{r['model']}:")
+            yield f"{r['model']}:"
         if (r["model"], r["pk"]) != at:
-            lines.append(f"  {r['pk'] if r['pk'] is not None else 'all objects'}:")
+            yield f"  {r['pk'] if r['pk'] is not None else 'all objects'}:"
         at = (r["model"], r["pk"])
-        lines.append(f"    {r['attr']}: {r['message']} ({r['value']!r})")
-    return "\n".join(lines)
+        yield f"    {r['attr']}: {r['message']} ({r['value']!r})"
+
+
+def report(violations: DataFrame) -> str:
+    """The whole report as one text."""
+    return "\n".join(report_lines(violations))
+
+
+def report_rows(violations: DataFrame) -> DataFrame:
+    """(model, pk, line): a line of the report for each violation, made in parallel."""
+    line = F.concat(F.col("attr"), F.lit(": "), F.col("message"), F.lit(" ("), F.coalesce("value", F.lit("")), F.lit(")"))
+    return violations.select("model", F.coalesce("pk", F.lit("all objects")).alias("pk"), line.alias("line"))

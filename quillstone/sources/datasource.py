@@ -14,7 +14,10 @@ from quillstone.schema import read_schema
 
 
 class TablesSource(DataSource):
-    """One model's rows, as text, of every file that the path matches; files are read in parallel."""
+    """One model's rows, as text, of every file that the path matches, those among the cells of other models' tables too; files are read in parallel.
+
+    Columns that the schema doesn't know are errors unless the option ignoreExtraAttributes is true.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -31,23 +34,33 @@ class TablesSource(DataSource):
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.path, self.file, self.model = options["path"], options["schema"], options["model"]
+        self.lenient = str(options.get("ignoreExtraAttributes", "false")).lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(p) for p in sorted(glob.glob(self.path))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         from quillstone.sources import layout, xlsx
-        from quillstone.sources.read import Strictness, _rows, model_of
+        from quillstone.sources.read import ReadError, Strictness, _rows, model_of
 
         if partition is None or partition.value is None:
             return
         catalog, path = read_schema(self.file), partition.value
+        strict = Strictness(allow_several_sheets=True, ignore_missing_models=True, ignore_extra_models=True, ignore_missing_attributes=True, ignore_extra_attributes=self.lenient)
+        wrong: list[str] = []
+        extra: dict[str, dict[str, dict]] = {}
         sheets = xlsx.read(path).values() if path.endswith(".xlsx") else [layout.cells(path)]
         for rows in sheets:
             for sheet in layout.tables(rows)[1]:
-                if sheet.meta.get("type", "Data") == "Data" and model_of(catalog, sheet.model) == self.model:
-                    for r in _rows(catalog, catalog[self.model], path, sheet, Strictness(True, True, True, True, True), [], {}):
-                        yield tuple(r[:-2])
+                owner = model_of(catalog, sheet.model) if sheet.meta.get("type", "Data") == "Data" else None
+                if owner == self.model or owner and any(r.to == self.model for r in catalog[owner].relations.values()):
+                    made = _rows(catalog, catalog[owner], path, sheet, strict, wrong, extra)
+                    if wrong:
+                        raise ReadError("\n".join(wrong))
+                    if owner == self.model:
+                        yield from (tuple(r[:-2]) for r in made)
+        for cells in extra.get(self.model, {}).values():  # rows of the model in groups of cells of other tables
+            yield tuple(cells.get(c) for c in catalog[self.model].columns())
 
 
 def register(spark: SparkSession) -> None:

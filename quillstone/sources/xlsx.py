@@ -64,19 +64,52 @@ def read(path: str) -> dict[str, list[list[str]]]:
         return out
 
 
-def write(path: str, sheets: dict[str, list[list[str]]]) -> None:
-    """A workbook of text cells, names cut to the 31 characters that the format allows."""
+def _validation(rows: list[list[str]], rules: dict[str, tuple]) -> tuple[int, str]:
+    """The number of rows above the data, and what spreadsheets check in the cells below each heading: choices, bounds of numbers and of lengths."""
+    top = next((i for i, r in enumerate(rows, 1) if any(str(v).startswith("!") and not str(v).startswith("!!") for v in r)), 0)
+    if not top:
+        return 0, ""
+    if top < len(rows) and any(str(v).startswith("!") for v in rows[top]):
+        top += 1
+    made = []
+    for j, head in enumerate(rows[top - 1], 1):
+        kind, low, high, values = rules.get(head, ("", "", "", ""))
+        at = f"{letters(j)}{top + 1}:{letters(j)}1048576"
+        if kind == "Enum" and values and len(values) < 250:
+            made.append(f'<dataValidation type="list" allowBlank="1" showErrorMessage="1" sqref="{at}"><formula1>{escape(chr(34) + values.replace(", ", ",") + chr(34))}</formula1></dataValidation>')
+        elif kind.endswith(("Float", "Integer")) and (low or high):
+            made.append(_between("whole" if kind.endswith("Integer") else "decimal", low, high, at))
+        elif kind in ("String", "Regex", "Url", "Email", "Slug") and high:
+            made.append(_between("textLength", low or "0", high, at))
+    return top, f'<dataValidations count="{len(made)}">{"".join(made)}</dataValidations>' if made else ""
+
+
+def _between(kind: str, low: str, high: str, at: str) -> str:
+    how = ' operator="greaterThanOrEqual"' if not high else ' operator="lessThanOrEqual"' if not low else ""
+    second = f"<formula2>{high}</formula2>" if low and high else ""
+    return f'<dataValidation type="{kind}"{how} allowBlank="1" showErrorMessage="1" sqref="{at}"><formula1>{low or high}</formula1>{second}</dataValidation>'
+
+
+def write(path: str, sheets: dict[str, list[list[str]]], rules: dict[str, dict[str, tuple]] | None = None, protected: bool = False) -> None:
+    """A workbook of text cells, names cut to the 31 characters that the format allows; headings are frozen, data can be filtered, cells are checked by
+    rules (sheet -> heading -> (type, least, most, choices)), and protected sheets still let cells be filled in and formatted."""
     main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         over = "".join(f'<Override PartName="/xl/worksheets/sheet{k}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for k in range(1, len(sheets) + 1))
-        z.writestr("[Content_Types].xml", f'<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{over}</Types>')
+        z.writestr("[Content_Types].xml", f'<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/styles.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.styles+xml"/>{over}</Types>')
         z.writestr("_rels/.rels", f'<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook {main} xmlns:r="{rel}"><sheets>{"".join(f"""<sheet name="{escape(n[:31], {chr(34): "&quot;"})}" sheetId="{k}" r:id="r{k}"/>""" for k, n in enumerate(sheets, 1))}</sheets></workbook>')
-        z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{"".join(f"""<Relationship Id="r{k}" Type="{rel}/worksheet" Target="worksheets/sheet{k}.xml"/>""" for k in range(1, len(sheets) + 1))}</Relationships>')
-        for k, rows in enumerate(sheets.values(), 1):
+        z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{"".join(f"""<Relationship Id="r{k}" Type="{rel}/worksheet" Target="worksheets/sheet{k}.xml"/>""" for k in range(1, len(sheets) + 1))}<Relationship Id="s1" Type="{rel}/styles" Target="styles.xml"/></Relationships>')
+        z.writestr("xl/styles.xml", f'<?xml version="1.0"?><styleSheet {main}><fonts count="1"><font/></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf applyProtection="1"><protection locked="0"/></xf></cellXfs></styleSheet>')
+        for k, (name, rows) in enumerate(sheets.items(), 1):
             lines = []
+            top, checks = _validation(rows, (rules or {}).get(name, {}))
+            pane = f'<sheetViews><sheetView workbookViewId="0"><pane ySplit="{top}" topLeftCell="A{top + 1}" state="frozen"/></sheetView></sheetViews>' if top else ""
+            lock = '<sheetProtection sheet="1" formatCells="0" formatColumns="0" formatRows="0" insertRows="0" deleteRows="0" sort="0" autoFilter="0"/>' if protected else ""
+            find = f'<autoFilter ref="A{top}:{letters(max(map(len, rows), default=1) or 1)}{max(len(rows), top)}"/>' if top else ""
+            open_ = ' s="1"' if protected else ""
             for i, r in enumerate(rows, 1):
-                made = "".join(f'<c r="{letters(j)}{i}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' for j, v in enumerate(r, 1) if v not in ("", None))
+                made = "".join(f'<c r="{letters(j)}{i}"{open_ if i > top else ""} t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>' for j, v in enumerate(r, 1) if v not in ("", None))
                 lines.append(f'<row r="{i}">{made}</row>')
-            z.writestr(f"xl/worksheets/sheet{k}.xml", f'<?xml version="1.0"?><worksheet {main}><sheetData>{"".join(lines)}</sheetData></worksheet>')
+            z.writestr(f"xl/worksheets/sheet{k}.xml", f'<?xml version="1.0"?><worksheet {main}>{pane}<sheetData>{"".join(lines)}</sheetData>{lock}{find}{checks}</worksheet>')
