@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import csv
+import os
+import shutil
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.cluster import shared_dir
+from quillstone.functions import expressions
 from quillstone.functions import text as T
 from quillstone.functions.codecs import codec
 from quillstone.functions.expressions import coefficients, compile_column, compile_nested, linear_values, parse
 from quillstone.operators import compare, graph, migrate, relate, select, validate
 from quillstone.plans.catalog import catalog
-from quillstone.schema import Attribute, Catalog, Model
+from quillstone.schema import Attribute, Catalog, Model, compile_table, schema_rows
 from quillstone.sources import read as sources
+from quillstone.sources import write as writing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -31,7 +39,7 @@ def query(sql: str | None = None):
     return add
 
 
-# -- scans, projections, filters, lookups ------------------------------------------------------------------
+# -- scans, projections, filters, lookups
 
 
 @query("SELECT attr, message, count(*) AS n FROM (SELECT 'o_orderstatus' AS attr, 'value isn''t one of the choices' AS message FROM orders WHERE o_orderstatus NOT IN ('F', 'O') UNION ALL SELECT 'o_totalprice', 'value must be at most 400000' FROM orders WHERE o_totalprice > 400000 UNION ALL SELECT 'o_totalprice', 'value must be positive' FROM orders WHERE o_totalprice <= 0 UNION ALL SELECT 'o_orderpriority', 'value isn''t one of the choices' FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED')) GROUP BY ALL")
@@ -40,10 +48,10 @@ def validate_orders(t):
     return validate.rules(t("orders"), catalog()["orders"]).groupBy("attr", "message").agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate, o_orderpriority FROM orders")
 def scan_project(t):
-    names = [n for n in select.attributes(catalog()["orders"], related=False) if n != "o_orderdate"]
-    return sources.bulk_columns(t("orders"), catalog()["orders"]).select(*names)
+    names = select.attributes(catalog()["orders"], related=False)
+    return sources.bulk_columns(t("orders"), catalog()["orders"]).select(*names).withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
 
 
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'")
@@ -51,10 +59,10 @@ def filter_attr_vals(t):
     return select.where(t("orders"), o_orderstatus="F", o_orderpriority="1-URGENT").select("o_orderkey", "o_custkey")
 
 
-@query("SELECT 'supplier' AS type, s_suppkey AS key, s_name AS name FROM supplier WHERE s_nationkey = 3")
+@query("SELECT 'supplier' AS type, s_suppkey AS key, s_name AS name FROM supplier WHERE s_nationkey = 3 UNION ALL SELECT 'customer', c_custkey, c_name FROM customer WHERE c_nationkey = 3")
 def filter_type_union(t):
     both = select.superclass({"customer": t("customer").selectExpr("c_custkey AS key", "c_name AS name", "c_nationkey AS nation"), "supplier": t("supplier").selectExpr("s_suppkey AS key", "s_name AS name", "s_nationkey AS nation")}, ["key", "name", "nation"])
-    return select.where(both, "supplier", nation=3).select(F.col("__type").alias("type"), "key", "name")
+    return select.where(both, ["supplier", "customer"], nation=3).select(F.col("__type").alias("type"), "key", "name")
 
 
 @query("SELECT any_value(p_partkey) AS p_partkey, p_brand, p_size FROM part GROUP BY p_brand, p_size HAVING count(*) = 1")
@@ -114,7 +122,7 @@ def cell_columns(t):
     return t("part").select("p_partkey", T.cell_column(F.col("p_partkey")).alias("letters"))
 
 
-# -- relations ---------------------------------------------------------------------------------------------
+# -- relations
 
 
 @query("SELECT c_nationkey AS nation, string_agg(c_custkey::VARCHAR, ', ' ORDER BY c_custkey) AS customers FROM customer GROUP BY c_nationkey")
@@ -225,7 +233,7 @@ def get_or_create(t):
     return select.insert_missing(have, t("customer").selectExpr("c_nationkey + 20 AS key", "'new' AS name"), ["key"])
 
 
-# -- uniqueness and validation -----------------------------------------------------------------------------
+# -- uniqueness and validation
 
 
 @query("SELECT md5(text) AS text, count(*) AS times FROM documents GROUP BY text HAVING count(*) > 1")
@@ -301,7 +309,7 @@ def validator_report(t):
     return validate.by_model(validate.validate({n: t(n) for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}, catalog()))
 
 
-# -- codecs ------------------------------------------------------------------------------------------------
+# -- codecs
 
 
 @query("SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS value, c_custkey % 5 = 4 AS bad FROM customer")
@@ -389,9 +397,12 @@ def uncertain_numbers(t):
     return t("part").select("p_partkey", u.alias("u")).select("p_partkey", F.col("u.nominal_value").alias("nominal"), F.col("u.std_dev").alias("dev"))
 
 
-@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events")
+@query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k, event_id % 5 = 0 AS bad FROM events")
 def json_attr(t):
-    return t("events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+    """JSON that can be read, and, for every fifth event, text that can't."""
+    k = codec("Json")
+    rows = t("events").select("event_id", k.clean(F.col("props")).alias("j"), k.bad(F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))).alias("bad"))
+    return rows.select("event_id", F.from_json("j", "k bigint")["k"].alias("k"), "bad")
 
 
 @query("SELECT vec_id::VARCHAR AS pk, 'array must have at most 63 items' AS message FROM embeddings WHERE len(embedding) > 63")
@@ -399,7 +410,7 @@ def array_attr(t):
     return _rules(t, "embeddings", "vec_id", "embedding", "Array", "cast(embedding AS array<double>)", min_length=1, max_length=63)
 
 
-# -- normalize, diff, merge ---------------------------------------------------------------------------------
+# -- normalize, diff, merge
 
 
 @query("SELECT o_custkey, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS orders FROM orders GROUP BY o_custkey")
@@ -460,7 +471,28 @@ def merge_map(t):
     return compare.merge_map(*_two_parts(t), ["p_partkey"])
 
 
-# -- graphs ------------------------------------------------------------------------------------------------
+@query("SELECT p_partkey, 'changed' AS status, 'p_size' AS attr, p_size::VARCHAR AS \"left\", (p_size + 1)::VARCHAR AS \"right\" FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT NULL, 'changed', 'p_size', '1', '2'")
+def diff_null_keys(t):
+    """All columns of the table, with a row without a key on both sides, which is the same row; other columns are called as the engine's own."""
+    part = t("part").withColumns({"l": F.lit("x"), "r": F.lit("y")})
+    none = part.limit(1).select(*[F.lit(1).cast(f.dataType).alias(f.name) if f.name == "p_size" else F.lit(None).cast(f.dataType).alias(f.name) for f in part.schema])
+    changed = part.withColumn("p_size", (F.col("p_size") + F.when(F.col("p_partkey") % 7 == 0, 1).otherwise(0)).cast(part.schema["p_size"].dataType))
+    return compare.diff(part.union(none), changed.union(none.withColumn("p_size", (F.col("p_size") + 1).cast(part.schema["p_size"].dataType))), ["p_partkey"], strict=True)
+
+
+@query("SELECT s_nationkey AS dst_pk, s_suppkey AS src_pk FROM supplier UNION SELECT c_nationkey, c_custkey FROM customer")
+def merge_edge_tables(t):
+    side = lambda name, k: t(name).select(F.col(f"{k}_nationkey").alias("dst_pk"), F.col(f"{k}_{'supp' if k == 's' else 'cust'}key").alias("src_pk"))
+    return compare.merge_edges(side("supplier", "s"), side("customer", "c"))
+
+
+@query("SELECT n_name AS name FROM nation ORDER BY n_name")
+def normal_keys(t):
+    """The nations in their canonical order, that of the first unique attribute by name."""
+    return t("nation").orderBy(*compare.normal_key(catalog()["nation"])).select(F.col(compare.normal_key(catalog()["nation"])[0]).alias("k"), F.col("n_name").alias("name")).drop("k")
+
+
+# -- graphs
 
 
 def _links(t):
@@ -472,75 +504,39 @@ def _links(t):
 _E = "(SELECT p.p_partkey AS src, 'up' AS attr, q.p_partkey AS dst FROM part p JOIN part q ON q.p_partkey = p.p_partkey * 3 UNION ALL SELECT p_partkey, 'down', p_partkey // 2 FROM part WHERE p_partkey % 4 = 0)"
 
 
-@query(f"WITH RECURSIVE e AS {_E}, r AS (SELECT dst AS node FROM e WHERE src IN (1, 8, 20) UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r")
-def related_closure(t):
-    start = t("part").where("p_partkey IN (1, 8, 20)").select(F.col("p_partkey").alias("node"))
-    return graph.closure(_links(t), start)
-
-
-@query(f"WITH RECURSIVE e AS {_E}, r AS (SELECT src AS root, dst AS node FROM e WHERE src IN (1, 2, 5, 7) AND attr = 'up' UNION SELECT r.root, e.dst FROM r JOIN e ON e.src = r.node AND attr = 'up') SELECT root, node FROM r")
-def children_recursive(t):
-    start = t("part").where("p_partkey IN (1, 2, 5, 7)").select(F.col("p_partkey").alias("node"))
-    return graph.children(_links(t), start, ["up"], carry=True)
-
-
 @query(f"SELECT src, attr, dst FROM {_E} WHERE src IN (SELECT p_partkey FROM part WHERE p_size > 10) AND dst IN (SELECT p_partkey FROM part WHERE p_size > 10)")
 def cut_subgraph(t):
     return graph.cut(_links(t), t("part").where("p_size > 10").select(F.col("p_partkey").alias("node")))
 
 
-@query(f"WITH RECURSIVE e AS {_E}, r AS (SELECT p_partkey AS node FROM part WHERE p_partkey IN (2, 7) UNION SELECT e.dst FROM r JOIN e ON e.src = r.node AND attr = 'up') SELECT src, attr, dst FROM e WHERE src IN (SELECT node FROM r) AND dst IN (SELECT node FROM r)")
-def cut_children(t):
-    start = t("part").where("p_partkey IN (2, 7)").select(F.col("p_partkey").alias("node"))
-    return graph.cut_from(_links(t), start, ["up"])
-
-
 @query("SELECT c_custkey::VARCHAR AS pk, 'nation:' || c_nationkey AS nation, c_mktsegment AS segment FROM customer")
 def objects_json(t):
     made = graph.objects({"customer": t("customer")}, catalog())
     return made.select("pk", F.get_json_object("json", "$.c_nationkey.__id").alias("nation"), F.get_json_object("json", "$.c_mktsegment").alias("segment"))
 
 
-@query(f"WITH RECURSIVE e AS {_E}, r AS (SELECT p_partkey AS root, p_partkey AS node FROM part WHERE p_partkey IN (1, 2, 5) UNION SELECT r.root, e.dst FROM r JOIN e ON e.src = r.node AND attr = 'up') SELECT a.root, src, attr, dst FROM e JOIN r a ON a.node = src JOIN r b ON b.node = dst AND a.root = b.root")
-def split_graphs(t):
-    roots = t("part").where("p_partkey IN (1, 2, 5)").select(F.col("p_partkey").alias("node"))
-    return graph.split(_links(t), roots, ["up"])[1]
-
-
-@query(f"WITH RECURSIVE e AS {_E}, r AS (SELECT dst AS node FROM e WHERE src IN (1, 8, 20) UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN 'mm' WHEN p_size % 3 = 1 THEN 'g' ELSE 's' END AS unit FROM r JOIN part ON p_partkey = node")
-def reachable_units(t):
-    """Distinct units of everything that can be reached."""
-    start = t("part").where("p_partkey IN (1, 8, 20)").select(F.col("p_partkey").alias("node"))
-    parts = t("part").join(graph.closure(_links(t), start), F.col("p_partkey") == F.col("node"), "left_semi")
-    unit = codec("Unit").clean(F.when(F.col("p_size") % 3 == 0, "mm").when(F.col("p_size") % 3 == 1, "g").otherwise("s"))
-    return parts.select(unit.alias("u")).select(F.col("u.text").alias("unit")).distinct()
-
-
-# The same five from starts that grow with the table: all parts as roots, and the large ones.
-
-
 @query(f"WITH RECURSIVE e AS {_E}, r AS (SELECT dst AS node FROM e WHERE src IN (SELECT p_partkey FROM part WHERE p_size > 40) UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT node FROM r")
-def related_closure_wide(t):
+def related_closure(t):
     return graph.closure(_links(t), _large(t))
 
 
 @query(f"WITH RECURSIVE e AS {_E}, r AS (SELECT src AS root, dst AS node FROM e WHERE attr = 'up' UNION SELECT r.root, e.dst FROM r JOIN e ON e.src = r.node AND attr = 'up') SELECT root, node FROM r")
-def children_recursive_wide(t):
+def children_recursive(t):
     return graph.children(_links(t), t("part").select(F.col("p_partkey").alias("node")), ["up"], carry=True)
 
 
 @query(f"WITH RECURSIVE e AS {_E}, r AS (SELECT p_partkey AS node FROM part WHERE p_size > 40 UNION SELECT e.dst FROM r JOIN e ON e.src = r.node AND attr = 'up') SELECT src, attr, dst FROM e WHERE src IN (SELECT node FROM r) AND dst IN (SELECT node FROM r)")
-def cut_children_wide(t):
+def cut_children(t):
     return graph.cut_from(_links(t), _large(t), ["up"])
 
 
 @query(f"WITH RECURSIVE e AS {_E}, r AS (SELECT p_partkey AS root, p_partkey AS node FROM part UNION SELECT r.root, e.dst FROM r JOIN e ON e.src = r.node AND attr = 'up') SELECT a.root, src, attr, dst FROM e JOIN r a ON a.node = src JOIN r b ON b.node = dst AND a.root = b.root")
-def split_graphs_wide(t):
+def split_graphs(t):
     return graph.split(_links(t), t("part").select(F.col("p_partkey").alias("node")), ["up"])[1]
 
 
 @query(f"WITH RECURSIVE e AS {_E}, r AS (SELECT dst AS node FROM e WHERE src IN (SELECT p_partkey FROM part WHERE p_size > 40) UNION SELECT e.dst FROM r JOIN e ON e.src = r.node) SELECT DISTINCT CASE WHEN p_size % 3 = 0 THEN 'mm' WHEN p_size % 3 = 1 THEN 'g' ELSE 's' END AS unit FROM r JOIN part ON p_partkey = node")
-def reachable_units_wide(t):
+def reachable_units(t):
     parts = t("part").join(graph.closure(_links(t), _large(t)), F.col("p_partkey") == F.col("node"), "left_semi")
     unit = codec("Unit").clean(F.when(F.col("p_size") % 3 == 0, "mm").when(F.col("p_size") % 3 == 1, "g").otherwise("s"))
     return parts.select(unit.alias("u")).select(F.col("u.text").alias("unit")).distinct()
@@ -557,7 +553,7 @@ def to_dict_json(t):
     return back.select("o_orderkey", F.size("c").alias("lines"), F.aggregate("c", F.lit(0.0), lambda a, x: a + x["l_quantity"]).alias("quantity"))
 
 
-# -- contents, expressions, migration, layouts ---------------------------------------------------------------
+# -- contents, expressions, migration, layouts
 
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS model, count(*) AS objects FROM {n}" for n in ("region", "nation", "customer", "orders", "lineitem")))
@@ -643,3 +639,452 @@ def grammar_cells(t):
 
     return parse_cells(cells, "p_partkey", "cell", parser, "species string, n bigint").select("p_partkey", "species", "n")
 
+
+
+# -- files: what is written is read again
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that the driver can open, in the shared one: files in spreadsheet layouts are for one machine."""
+    at = shared_dir(spark)
+    if not at.startswith(("file:/", "/")):
+        raise ValueError(f"files in spreadsheet layouts can't be written to {at}")
+    path = f"/{at.removeprefix('file:').lstrip('/')}/files-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    return path
+
+
+_TRIP = ("region", "nation", "supplier", "customer")
+_TRIP_SQL = "SELECT 'region' AS model, r_regionkey AS key, r_name AS name, NULL::DOUBLE AS amount, NULL::BIGINT AS ref FROM region UNION ALL SELECT 'nation', n_nationkey, n_name, NULL, n_regionkey FROM nation UNION ALL SELECT 'supplier', s_suppkey, s_name, s_acctbal, s_nationkey FROM supplier UNION ALL SELECT 'customer', c_custkey, c_name, c_acctbal, c_nationkey FROM customer"
+_LOOSE = sources.Strictness(ignore_missing_models=True)
+
+
+def _owned(t) -> dict[str, DataFrame]:
+    return {n: sources.bulk_columns(t(n), catalog()[n]) for n in _TRIP}
+
+
+def _flat(tables: dict[str, DataFrame]) -> DataFrame:
+    """All objects as (model, key, name, amount, ref)."""
+    parts = []
+    for n in _TRIP:
+        m, x = catalog()[n], n[0]
+        amount = F.col(f"{x}_acctbal") if f"{x}_acctbal" in m.attributes else F.lit(None)
+        ref = F.col(next(iter(m.relations))) if m.relations else F.lit(None)
+        parts.append(tables[n].select(F.lit(n).alias("model"), F.col(m.primary).cast("bigint").alias("key"), F.col(f"{x}_name").alias("name"), amount.cast("double").alias("amount"), ref.cast("bigint").alias("ref")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _cleaned(data: sources.Dataset) -> dict[str, DataFrame]:
+    return {n: validate.clean(d, catalog()[n], catalog=catalog()) for n, d in data.tables.items()}
+
+
+def _trip(t, name: str, **how) -> DataFrame:
+    """The tables after they were written to a file and read from it."""
+    tables = _owned(t)
+    spark = tables["region"].sparkSession
+    at = _folder(spark)
+    try:
+        writing.write(f"{at}/{name}", tables, catalog(), {"about": "it's a test"}, **how)
+        data = sources.read(spark, f"{at}/{name}", catalog(), _LOOSE)
+        if data.document.get("about") != "it's a test":
+            raise ValueError("the document's metadata is lost")
+        return _flat(_cleaned(data))
+    finally:
+        shutil.rmtree(at)
+
+
+@query(_TRIP_SQL)
+def files_csv(t):
+    """A file with all tables, with contents and schema before them."""
+    return _trip(t, "all.csv", toc=True, schema=True)
+
+
+@query(_TRIP_SQL)
+def files_tsv(t):
+    return _trip(t, "all.tsv")
+
+
+@query(_TRIP_SQL)
+def files_many_csv(t):
+    """A file for each table."""
+    return _trip(t, "part-*.csv")
+
+
+@query(_TRIP_SQL)
+def files_xlsx(t):
+    return _trip(t, "all.xlsx", toc=True, schema=True)
+
+
+@query(_TRIP_SQL)
+def files_json(t):
+    return _trip(t, "all.json")
+
+
+@query(_TRIP_SQL)
+def files_yaml(t):
+    return _trip(t, "all.yaml")
+
+
+@query(_TRIP_SQL)
+def files_convert(t):
+    """From text to JSON to a workbook and back to tables."""
+    tables = _owned(t)
+    spark = tables["region"].sparkSession
+    at = _folder(spark)
+    try:
+        writing.write(f"{at}/a.csv", tables, catalog())
+        for x, y in (("a.csv", "b.json"), ("b.json", "c.xlsx")):
+            writing.convert(spark, f"{at}/{x}", f"{at}/{y}", catalog(), _LOOSE)
+        return _flat(_cleaned(sources.read(spark, f"{at}/c.xlsx", catalog(), _LOOSE)))
+    finally:
+        shutil.rmtree(at)
+
+
+@query(_TRIP_SQL)
+def files_bulk(t):
+    """Tables written and read in parallel."""
+    tables = _owned(t)
+    spark = tables["region"].sparkSession
+    to = f"{shared_dir(spark)}/bulk-{uuid.uuid4().hex}"
+    for n, d in tables.items():
+        writing.bulk(d, f"{to}/{n}")
+    return _flat({n: sources.bulk(spark, f"{to}/{n}", catalog()[n]) for n in tables})
+
+
+@query(_TRIP_SQL)
+def files_pandas(t):
+    """Serialized tables on the driver and back."""
+    tables = _owned(t)
+    made = writing.to_pandas(tables, catalog())
+    spark = tables["region"].sparkSession
+    return _flat({n: validate.clean(spark.createDataFrame(d.astype(str)), catalog()[n], catalog=catalog()) for n, d in made.items()})
+
+
+@query("SELECT c_custkey AS key, row_number() OVER (ORDER BY c_custkey) + 2 AS line FROM customer")
+def files_lines(t):
+    """Where each row of a table stands in its file."""
+    tables = {"customer": _owned(t)["customer"]}
+    spark = tables["customer"].sparkSession
+    at = _folder(spark)
+    try:
+        writing.write(f"{at}/c.csv", tables, catalog())
+        return sources.read(spark, f"{at}/c.csv", catalog(), _LOOSE).tables["customer"].select(F.col("c_custkey").cast("bigint").alias("key"), F.col("__row").cast("bigint").alias("line"))
+    finally:
+        shutil.rmtree(at)
+
+
+@query("SELECT s_suppkey AS key, s_name AS name, s_nationkey AS ref FROM supplier")
+def files_source(t):
+    """The data source over a file of several tables."""
+    from quillstone.sources.datasource import register
+
+    tables = _owned(t)
+    spark = tables["region"].sparkSession
+    register(spark)
+    at = _folder(spark)
+    writing.write(f"{at}/a.csv", tables, catalog())
+    with open(f"{at}/schema.csv", "w", encoding="utf-8", newline="") as f:
+        csv.writer(f).writerows([["!Name", "!Type", "!Parent", "!Format", "!Verbose name", "!Description"], *[r for r in schema_rows(catalog()) if "supplier" in (r[0], r[2]) or "nation" in (r[0], r[2]) or "region" in (r[0], r[2])]])
+    rows = spark.read.format("tables").option("schema", f"{at}/schema.csv").option("model", "supplier").load(f"{at}/a.csv")
+    return rows.select(F.col("s_suppkey").cast("bigint").alias("key"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("bigint").alias("ref"))
+
+
+@query("SELECT * FROM (VALUES ('customer', 5, 0), ('lineitem', 4, 0), ('nation', 3, 0), ('orders', 6, 0), ('part', 6, 0), ('region', 2, 0), ('supplier', 4, 0)) v(model, columns, rows)")
+def files_template(t):
+    """A file to be filled in: headings and no rows."""
+    spark = t("region").sparkSession
+    at = _folder(spark)
+    try:
+        writing.template(f"{at}/t.xlsx", spark, catalog())
+        data = sources.read(spark, f"{at}/t.xlsx", catalog())
+        return spark.createDataFrame([(n, len(d.columns) - 2, d.count()) for n, d in sorted(data.tables.items())], "model string, columns int, rows int")
+    finally:
+        shutil.rmtree(at)
+
+
+@query("SELECT * FROM (VALUES ('customer', 4, 1), ('lineitem', 3, 1), ('nation', 2, 1), ('orders', 5, 1), ('part', 6, 0), ('region', 2, 0), ('supplier', 3, 1)) v(model, literals, relations)")
+def schema_table(t):
+    """The catalog written as a table and compiled from it."""
+    names = ("Name", "Type", "Parent", "Format", "Verbose name", "Description")
+    again = compile_table([dict(zip(names, r)) for r in schema_rows(catalog())])
+    return t("region").sparkSession.createDataFrame([(m.name, len(m.attributes), len(m.relations)) for m in again.models.values()], "model string, literals int, relations int")
+
+
+@query("SELECT * FROM (VALUES ('customer'), ('lineitem'), ('nation'), ('orders'), ('supplier')) v(model)")
+def schema_related(t):
+    """Models that regions are related to over any number of relations."""
+    return t("region").sparkSession.createDataFrame([(m,) for m in catalog().related_models("region")], "model string")
+
+
+@query("SELECT * FROM (VALUES ('o_orderkey', 'Integer', '', '', ''), ('o_orderstatus', 'Enum', '', '', 'F, O'), ('o_totalprice', 'PositiveFloat', '', '400000.0', ''), ('o_orderdate', 'DateTime', '', '', ''), ('o_orderpriority', 'Enum', '', '', '1-URGENT, 2-HIGH, 3-MEDIUM, 4-NOT SPECIFIED'), ('o_custkey', 'N-1', '1', '', 'customer.c_custkey')) v(attr, kind, low, high, choices)")
+def cell_rules(t):
+    """What spreadsheets check in the cells of orders."""
+    rows = [r[1:] for r in writing.cell_rules(catalog()) if r[0] == "orders"]
+    return t("region").sparkSession.createDataFrame(rows, "attr string, kind string, low string, high string, choices string")
+
+
+# -- more of relations, lookups and graphs
+
+
+@query("SELECT s_suppkey AS src_pk, CASE WHEN s_suppkey % 10 = 1 AND s_suppkey + 1 <= (SELECT max(s_suppkey) FROM supplier) THEN s_suppkey + 1 ELSE s_suppkey END AS dst_pk FROM supplier WHERE s_suppkey % 10 <> 2 OR s_suppkey - 1 NOT IN (SELECT s_suppkey FROM supplier)")
+def assign_one_to_one(t):
+    """One-to-one partners set anew: who held the partner before has none."""
+    own = t("supplier").select(F.col("s_suppkey").alias("src_pk"), F.col("s_suppkey").alias("dst_pk"))
+    new = own.where("src_pk % 10 = 1").select("src_pk", (F.col("dst_pk") + 1).alias("dst_pk")).join(own.select("dst_pk"), "dst_pk", "left_semi").select("src_pk", "dst_pk")
+    return relate.assign(own, new, "1-1")
+
+
+@query("SELECT l_suppkey, max(l_partkey) AS last, count(DISTINCT l_partkey) - 1 AS rest, count(DISTINCT CASE WHEN l_partkey <> 1 THEN l_partkey END) AS others FROM lineitem GROUP BY l_suppkey")
+def set_pop_discard(t):
+    """The last item of a collection and the number of the others; the number without item 1."""
+    sets = t("lineitem").groupBy("l_suppkey").agg(F.sort_array(F.collect_set("l_partkey")).alias("a"))
+    last, rest = relate.pop(F.col("a"))
+    return sets.select("l_suppkey", last.alias("last"), F.size(rest).cast("bigint").alias("rest"), F.size(relate.discard(F.col("a"), F.lit(1).cast("bigint"))).cast("bigint").alias("others"))
+
+
+@query("SELECT l_suppkey, count(DISTINCT l_partkey) AS n, sum(DISTINCT l_partkey)::BIGINT AS total FROM lineitem GROUP BY l_suppkey")
+def set_shuffled(t):
+    """A collection in random order keeps its items."""
+    sets = t("lineitem").groupBy("l_suppkey").agg(F.collect_set("l_partkey").alias("a")).select("l_suppkey", relate.shuffled(F.col("a")).alias("a"))
+    return sets.select("l_suppkey", F.size("a").cast("bigint").alias("n"), F.aggregate("a", F.lit(0).cast("bigint"), lambda x, y: x + y).alias("total"))
+
+
+@query(f"SELECT DISTINCT src AS root, dst AS node FROM {_E} WHERE attr = 'up'")
+def children_immediate(t):
+    return graph.children(_links(t), t("part").select(F.col("p_partkey").alias("node")), ["up"], recursive=False, carry=True)
+
+
+@query("SELECT model, attr, message, count(*) AS n FROM (SELECT 'customer' AS model, 'c_acctbal' AS attr, 'value must be at least 0' AS message FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0 AND n_regionkey = 1) GROUP BY ALL")
+def related_errors(t):
+    """The violations among all objects that refer, directly or not, to the second region."""
+    tables = {n: sources.bulk_columns(t(n), catalog()[n]) for n in ("region", "nation", "customer")}
+    rows = tables["region"].where("r_regionkey = 1")
+    start = rows.select(F.lit("region").alias("type"), F.col("r_regionkey").cast("string").alias("pk"))
+    return validate.by_model(graph.related_errors(tables, catalog(), start))
+
+
+@query("SELECT 'customer' AS model, c_custkey::VARCHAR AS pk, 'c_acctbal: value must be at least 0 (' || c_acctbal::VARCHAR || ')' AS line FROM customer WHERE c_acctbal < 0")
+def report_lines(t):
+    bad = validate.rules(t("customer").withColumn("c_acctbal", F.col("c_acctbal")), catalog()["customer"])
+    return validate.report_rows(bad).withColumn("pk", F.col("pk").cast("string"))
+
+
+@query("SELECT 'customer' AS type, c_custkey + 1000000 AS pk, c_nationkey + 1000000 AS ref FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)")
+def copied_graph(t):
+    """A copy of all that is related to the third region, under new keys, its references among itself."""
+    tables = {n: sources.bulk_columns(t(n), catalog()[n]) for n in ("region", "nation", "customer")}
+    start = tables["region"].where("r_regionkey = 2").select(F.lit("region").alias("type"), F.col("r_regionkey").cast("string").alias("pk"))
+    made = graph.copied(tables, catalog(), start, lambda m, k: k.cast("bigint") + 1_000_000)["customer"]
+    return made.select(F.lit("customer").alias("type"), F.col("c_custkey").cast("bigint").alias("pk"), F.col("c_nationkey").cast("bigint").alias("ref"))
+
+
+@query("SELECT 'supplier' AS type, s_suppkey::VARCHAR AS pk, 'supplier: ' || s_suppkey || chr(10) || '  s_suppkey: ' || s_suppkey || chr(10) || '  s_name: ' || s_name || chr(10) || '  s_nationkey: ' || s_nationkey AS text FROM supplier")
+def described_objects(t):
+    rows = sources.bulk_columns(t("supplier"), catalog()["supplier"]).drop("s_acctbal")
+    return graph.described({"supplier": rows}, catalog())
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 9000) THEN 'seen' ELSE n_name END AS n_name FROM nation")
+def set_path(t):
+    """An attribute at the end of a path: the nations of the richest builders get a new name, which all their customers see."""
+    rich = t("customer").where("c_acctbal > 9000")
+    data = {"customer": rich, "nation": t("nation")}
+    return select.set_path(data, catalog(), "customer", ["c_nationkey", "n_name"], "seen", c_mktsegment="BUILDING")["nation"].select("n_nationkey", "n_name")
+
+
+@query("SELECT n_nationkey + 20 AS key, n_name AS name FROM nation UNION ALL SELECT n_nationkey, n_name FROM nation WHERE n_nationkey < 20")
+def upsert_rows(t):
+    have = t("nation").selectExpr("n_nationkey AS key", "n_name AS name")
+    return select.upsert(have, t("nation").selectExpr("n_nationkey + 20 AS key", "n_name AS name"), ["key"])
+
+
+@query("SELECT l_suppkey, list_position(a, 3) - 1 AS at FROM (SELECT l_suppkey, list_sort(list(DISTINCT l_linenumber)) AS a FROM lineitem GROUP BY l_suppkey)")
+def item_position(t):
+    sets = t("lineitem").groupBy("l_suppkey").agg(F.sort_array(F.collect_set(F.col("l_linenumber").cast("int"))).alias("a"))
+    return sets.select("l_suppkey", select.position(sets, "a", 3).alias("at"))
+
+
+@query("SELECT 'supplier' AS type, s_suppkey AS key FROM supplier UNION ALL SELECT 'customer', c_custkey FROM customer")
+def grouped_by_type(t):
+    both = select.superclass({n: t(n).selectExpr(f"{k} AS key") for n, k in (("supplier", "s_suppkey"), ("customer", "c_custkey"))}, ["key"])
+    parts = select.by_type(both.union(both), ["supplier", "customer"])
+    return reduce(DataFrame.unionByName, [d.select(F.lit(n).alias("type"), "key") for n, d in parts.items()])
+
+
+# -- more of codecs: text cleaned, checked and written again
+
+
+def _codec_rows(t, kind: str, key: str, table: str, text, **options) -> DataFrame:
+    """(key, bad, broken, text): whether the text can't be read, whether the value breaks a rule, and how it is written."""
+    k = codec(kind, **options)
+    rows = t(table).select(key, text.alias("x"))
+    v = k.clean(F.col("x"))
+    broken = reduce(lambda a, b: a | b, [F.coalesce(bad, F.lit(False)) for _, bad in k.checks(v)], F.lit(False))
+    return rows.select(key, k.bad(F.col("x")).alias("bad"), broken.alias("broken"), k.serialize(v).alias("text"))
+
+
+def _third(good: str, other: str, key: str) -> str:
+    return f"CASE WHEN {key} % 3 = 0 THEN {other} ELSE {good} END"
+
+
+def _register_codec(name: str, kind: str, good: str, other: str, bad: bool, written: str | None = None, **options) -> None:
+    """A query that reads good text for two thirds of parts and, for every third, other text, which is unreadable (bad) or breaks a rule. Texts are SQL over part that both engines read."""
+    key = "p_partkey"
+    text = _third(written or good, "''" if bad else other, key)
+
+    def run(t):
+        return _codec_rows(t, kind, key, "part", F.expr(_third(good, other, key).replace("::VARCHAR", "")), **options)
+
+    QUERIES[name] = lambda spark, d: run(lambda table: spark.read.parquet(f"{d}/{table}.parquet"))
+    SQL[name] = f"SELECT {key}, {key} % 3 = 0 AND {str(bad).lower()} AS bad, {key} % 3 = 0 AND {str(not bad).lower()} AS broken, {text} AS text FROM part"
+
+
+for _name, _kind, _good, _other, _bad, _more in (
+    ("email", "Email", "concat('p', p_partkey, '@example.com')", "concat('p', p_partkey, 'example.com')", False, {}),
+    ("long_string", "LongString", "repeat('a', 300)", "''", False, {"none": False}),
+    ("local_path", "LocalPath", "concat('/data/', p_partkey, '.csv')", "''", False, {"none": False}),
+    ("doi", "refs.Doi", "concat('10.1000/p', p_partkey)", "concat('11.1000/p', p_partkey)", False, {}),
+    ("dois", "refs.Dois", "concat('10.1000/p', p_partkey, ', 10.1000/x')", "concat('10.1000/p', p_partkey, ', x')", False, {}),
+    ("pubmed_id", "refs.PubMedId", "concat(p_partkey, '')", "concat('-', p_partkey + 1)", False, {}),
+    ("pubmed_ids", "refs.PubMedIds", "concat(p_partkey, ', 7')", "concat(p_partkey, ', -7')", False, {}),
+    ("identifiers_list", "refs.Identifiers", "concat(chr(39), 'id', p_partkey, chr(39), ' @ ', chr(39), 'ns', chr(39))", "concat('id', p_partkey)", True, {}),
+    ("positive_float", "PositiveFloat", "concat(p_partkey, '.5')", "concat('-', p_partkey, '.5')", False, {}),
+    ("structure", "chem.ChemicalStructure", "concat('smiles: C', p_partkey)", "concat('odd: C', p_partkey)", True, {}),
+    ("feature_loc", "bio.FeatureLoc", "concat(p_partkey, ',', p_partkey + 5, ',1')", "concat(p_partkey, ',', p_partkey - 5, ',1')", False, {}),
+    ("dna", "bio.DnaSeq", "repeat('ACGT', p_size)", "repeat('ACGQ', p_size)", False, {}),
+    ("rna", "bio.RnaSeq", "repeat('ACGU', p_size)", "repeat('ACGT', p_size)", False, {}),
+    ("protein", "bio.ProteinSeq", "repeat('MKV', p_size)", "repeat('MKJ', p_size)", False, {}),
+    ("sequence", "bio.Seq", "repeat('AC-', p_size)", "repeat('A1', p_size)", False, {}),
+    ("term", "onto.OntoTerm", "concat('GO:', lpad(concat(p_partkey, ''), 7, '0'))", "''", False, {"none": False}),
+    ("symbolic", "math.Basic", "concat('x + ', p_partkey)", "''", False, {"none": False}),
+    ("symbol", "math.Symbol", "concat('x', p_partkey)", "''", False, {"none": False}),
+    ("symbolic_expr", "math.Expr", "concat('sin(x', p_partkey, ')')", "''", False, {"none": False}),
+):
+    _register_codec(f"codec_{_name}", _kind, _good, _other, _bad, **_more)
+
+
+@query("SELECT p_partkey, p_size::DOUBLE AS a, 2.0 * p_size AS b FROM part")
+def codec_table(t):
+    k = codec("Table")
+    v = k.clean(F.concat(F.lit('{"a": {"0": '), "p_size", F.lit('}, "b": {"0": '), F.col("p_size") * 2, F.lit("}}")))
+    return t("part").select("p_partkey", v.alias("v")).select("p_partkey", F.col("v")["a"]["0"].alias("a"), F.col("v")["b"]["0"].alias("b"))
+
+
+@query("SELECT p_partkey, p_size::DOUBLE AS a, 1.0::DOUBLE AS c FROM part")
+def codec_matrix(t):
+    """Counts of letters by position."""
+    k = codec("bio.FreqPosMatrix")
+    v = k.clean(F.concat(F.lit('{"_alphabet": "AC", "A": ['), "p_size", F.lit(", 2], \"C\": [1, 3]}")))
+    return t("part").select("p_partkey", v.alias("v")).select("p_partkey", F.col("v")["A"][0].alias("a"), F.col("v")["C"][0].alias("c"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def codec_date_forms(t):
+    """Dates as people and programs write them, a different way for each of eight orders."""
+    k, d = codec("Date"), F.col("o_orderdate")
+    forms = ("yyyy-MM-dd", "yyyy-MM-dd'T'00:00:00'Z'", "yyyy-MM-dd 00:00:00.000", "MMM d yyyy", "d MMMM yyyy", "yyyyMMdd", "M/d/yyyy", "EEEE, MMMM d, yyyy")
+    text = F.get(F.array(*[F.date_format(d, f) for f in forms]), (F.col("o_orderkey") % 8).cast("int"))
+    return t("orders").select("o_orderkey", k.serialize(k.clean(text)).alias("day"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || ' 15:04:05' AS stamp FROM orders")
+def codec_datetime_forms(t):
+    k, d = codec("DateTime"), F.col("o_orderdate")
+    forms = ("yyyy-MM-dd'T'15:04:05'Z'", "yyyy-MM-dd'T'16:04:05+01:00", "yyyy-MM-dd 15:04:05.000000", "MMM d, yyyy 3:04:05 'pm'", "yyyyMMdd'T'150405", "d-MMM-yyyy 15:04:05")
+    text = F.get(F.array(*[F.date_format(d, f) for f in forms]), (F.col("o_orderkey") % 6).cast("int"))
+    return t("orders").select("o_orderkey", k.serialize(k.clean(text)).alias("stamp"))
+
+
+@query("SELECT p_partkey, upper(p_brand) AS text, p_partkey % 3 = 0 AS broken FROM part")
+def custom_codec(t):
+    """A type of the user's own: text in capitals that may not be empty."""
+    from quillstone.functions.codecs import REGISTRY, StringCodec
+
+    if "Shout" not in REGISTRY:
+
+        class ShoutCodec(StringCodec):
+            def clean(self, c):
+                return F.upper(c)
+
+            def checks(self, c):
+                return [("value must be said aloud", c.endswith("?"))]
+
+    k = codec("Shout")
+    text = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_brand", F.lit("?"))).otherwise(F.col("p_brand"))
+    return t("part").select("p_partkey", F.rtrim(k.clean(text), F.lit("?")).alias("text"), k.checks(k.clean(text))[0][1].alias("broken"))
+
+
+# -- more of formulas and migration
+
+
+_F = "p_size / 7.0"
+_CALLS = {
+    "float(x)": "x", "fabs(-x)": "x", "abs(-x)": "x", "ceil(x)": "ceil(x)", "floor(x)": "floor(x)", "exp(x / 10)": "exp(x / 10)", "expm1(x / 10)": "exp(x / 10) - 1", "pow(x, 2)": "x * x", "sqrt(x)": "sqrt(x)", "log(x)": "ln(x)", "log(x, 2)": "ln(x) / ln(2)",
+    "log1p(x)": "ln(1 + x)", "log10(x)": "log10(x)", "log2(x)": "ln(x) / ln(2)", "factorial(3) * x": "6 * x", "sin(x)": "sin(x)", "cos(x)": "cos(x)", "tan(x / 100)": "tan(x / 100)", "acos(x / 10)": "acos(x / 10)", "asin(x / 10)": "asin(x / 10)", "atan(x)": "atan(x)",
+    "atan2(x, 2)": "atan2(x, 2)", "hypot(x, 2)": "sqrt(x * x + 4)", "degrees(x)": "degrees(x)", "radians(x)": "radians(x)", "min(x, 3)": "least(x, 3)", "max(x, 3)": "greatest(x, 3)", "round(2.5) + x": "2 + x", "x // 2": "floor(x / 2)", "x % 2": "x - floor(x / 2) * 2", "x ** 2": "x * x",
+    "(x > 3) and not (x > 5)": "CASE WHEN x > 3 AND NOT x > 5 THEN 1 ELSE 0 END",
+}
+
+
+@query("SELECT k, sum(round(v * 1000))::BIGINT AS total FROM (SELECT " + ", ".join(f"({v})::DOUBLE AS c{i}" for i, v in enumerate(_CALLS.values())) + f" FROM (SELECT ({_F})::DOUBLE AS x FROM part)) UNPIVOT (v FOR k IN ({', '.join(f'c{i}' for i in range(len(_CALLS)))})) GROUP BY k")
+def expr_functions(t):
+    """Every function and operator that formulas may use, over all parts."""
+    x = F.col("p_size") / 7.0
+    made = []
+    for i, text in enumerate(_CALLS):
+        p = parse(text, {"part": ["x"]})
+        made.append(F.sum(F.round(compile_column(p, [x] * len(p.terms)).cast("double") * 1000)).cast("bigint").alias(f"c{i}"))
+    sums = t("part").agg(*made)
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(f"c{i}").alias("k"), F.col(f"c{i}").alias("total")) for i in range(len(_CALLS))])).alias("s")).select("s.*")
+
+
+@query("SELECT p_partkey, 'size' AS id, true AS linear FROM part WHERE p_partkey % 3 <> 2 UNION ALL SELECT p_partkey, 'price', p_partkey % 3 = 0 FROM part WHERE p_partkey % 3 <> 2 UNION ALL SELECT p_partkey, NULL, NULL FROM part WHERE p_partkey % 3 = 2" .replace("'size' AS id, true AS linear", "'size' AS id, p_partkey % 3 = 0 AS linear"))
+def expr_terms(t):
+    """What the formulas of a column refer to; every third can't be read."""
+    text = F.when(F.col("p_partkey") % 3 == 0, "2 * size - price").when(F.col("p_partkey") % 3 == 1, "size * price").otherwise("size +* unknown")
+    return expressions.terms(t("part").select("p_partkey", text.alias("f")), "p_partkey", "f", {"part": ["size", "price"]}).select("p_partkey", "id", "linear")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'B.x + C.y * ' || p_size ELSE 'C.x - D.A.x + max(B.z, 1)' END AS f FROM part")
+def migrate_expressions(t):
+    """References follow a chain of renames: A becomes B, and what was B becomes C."""
+    text = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("A.x + B.y * "), "p_size")).otherwise("B.x - D.A.x + max(A.z, 1)")
+    return migrate.rename_references(t("part").select("p_partkey", text.alias("f")), "f", {("A", ""): ("B", ""), ("B", ""): ("C", "")})
+
+
+@query("SELECT c_custkey AS key, upper(c_name) AS c_name, 'none' AS note, 1 AS version FROM customer WHERE c_acctbal >= 0")
+def migrate_sequence(t):
+    """Two migrations, one after another, with functions before and after them."""
+    old, new, changes = _versions()
+    changes.before = lambda data: data | {"customer": data["customer"].where("c_acctbal >= 0")}
+    m = new["client"]
+    last = Catalog({"client": Model("client", dict(m.attributes) | {"version": Attribute("version", codec("Integer", default=1))})}, "last")
+    after = migrate.Changes(after=lambda data: data | {"client": data["client"].withColumn("c_name", F.upper("c_name"))})
+    out = migrate.over_sequence({"customer": t("customer")}, [(old, new, changes), (new, last, after)])["client"]
+    return out.select("key", "c_name", "note", F.col("version").cast("int").alias("version"))
+
+
+@query("SELECT c_custkey AS key, c_name, 'none' AS note FROM customer")
+def migrate_files(t):
+    """A file of the old schema into one of the new schema."""
+    old, new, changes = _versions()
+    spark = t("customer").sparkSession
+    at = _folder(spark)
+    try:
+        writing.write(f"{at}/old.csv", {"customer": _owned(t)["customer"]}, old)
+        migrate.migrate_file(spark, f"{at}/old.csv", f"{at}/new.json", old, new, changes, _LOOSE)
+        return validate.clean(sources.read(spark, f"{at}/new.json", new).tables["client"], new["client"]).select("key", "c_name", "note")
+    finally:
+        shutil.rmtree(at)
+
+
+@query("SELECT DISTINCT p_brand AS species, 1 AS known FROM part")
+def grammar_related(t):
+    """Rows that parsed cells refer to, those added that weren't there yet."""
+    from quillstone.functions.grammar import parse_cells, related_rows
+
+    cells = t("part").select("p_partkey", F.concat_ws(" ", F.lit("2"), "p_brand").alias("cell"))
+    parsed = parse_cells(cells, "p_partkey", "cell", lambda text: [(text.split()[1],)], "species string")
+    have = t("part").where("p_size > 40").select(F.col("p_brand").alias("species")).distinct().withColumn("id", F.md5("species"))
+    rows, edges = related_rows(parsed, "p_partkey", have, ["species"], lambda: F.md5("species"))
+    return rows.join(edges.select("id").distinct(), "id").select("species", F.lit(1).alias("known"))

@@ -17,7 +17,7 @@ def test_query(spark, name):
     assert ok, said
 
 
-def test_wide_graph_queries(spark, tmp_path):
+def test_graph_queries(spark, tmp_path):
     """Against brute force over a small table: all parts are roots, and all the large ones starts."""
     n = 60
     spark.createDataFrame([(k, k * 7 % 50 + 1) for k in range(1, n + 1)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
@@ -37,9 +37,9 @@ def test_wide_graph_queries(spark, tmp_path):
     under = {k: reach({k}, up) for k in range(1, n + 1)}
     kept = large | reach(large, up)
     want = {
-        "related_closure_wide": {(k,) for k in reach(large, edges)}, "children_recursive_wide": {(k, d) for k in under for d in under[k]}, "cut_children_wide": {e for e in edges if e[0] in kept and e[2] in kept},
-        "split_graphs_wide": {(k, *e) for k in under for e in edges if {e[0], e[2]} <= under[k] | {k}},
-        "reachable_units_wide": {(("mm", "g", "s")[(k * 7 % 50 + 1) % 3],) for k in reach(large, edges)},
+        "related_closure": {(k,) for k in reach(large, edges)}, "children_recursive": {(k, d) for k in under for d in under[k]}, "cut_children": {e for e in edges if e[0] in kept and e[2] in kept},
+        "split_graphs": {(k, *e) for k in under for e in edges if {e[0], e[2]} <= under[k] | {k}},
+        "reachable_units": {(("mm", "g", "s")[(k * 7 % 50 + 1) % 3],) for k in reach(large, edges)},
     }
     for name, rows in want.items():
         assert sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).collect())) == sorted(rows), name
