@@ -1,146 +1,49 @@
 """Token counts by a compiled tokenizer that emits counts, never tokens.
 
 Two transducers in series. The word splitter (pretokens) runs over chunks whose state maps compose by a
-parallel prefix scan. Within a word, the BPE automaton is determinised over bytes: a state holds the last
-token's automaton state and, for every arc still open, its trie node, its automaton state and how far its
-count lies behind. Each byte's transition carries the change of the count of canonical tokens, so a
-word's count is the sum along its path. States are made on demand and kept.
+parallel prefix scan. The BPE transducer (bpe) reads the words' bytes, with every transition annotated with the change of the
+number of canonical tokens. Every word enters it in its first state, so that words are chunks with constant maps: they need no
+scan among themselves, run side by side, and a text's count is a difference of prefix sums over its words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
 from quillstone.cluster import ship
 from quillstone.llm import pretokens
-from quillstone.llm.bpe import TOKENIZER, MergeAutomaton, automaton
-from quillstone.llm.common import pieces
+from quillstone.llm.bpe import TOKENIZER, MergeAutomaton, sent, transducer
+from quillstone.llm.common import SLICE_BYTES, pieces
 
-CACHE_WORDS = 400_000
-MOST_STATES = 150_000
-FEW = 48
-
-
-class CountTransducer:
-    """Deterministic over bytes; move[state << 8 | byte] = next state << 8 | (count change + 128)."""
-
-    def __init__(self, auto: MergeAutomaton, most: int = MOST_STATES):
-        self.auto, self.most = auto, most
-        self.below = self._tokens_below()
-        self._reset()
-
-    def _tokens_below(self) -> list[tuple[int, ...] | None]:
-        """For each trie node the tokens strictly under it; None where there are many."""
-        up = [0] * len(self.auto.ends)
-        for key, node in self.auto.step.items():
-            up[node] = key >> 8
-        below: list[list[int] | None] = [[] for _ in up]
-        for node, token in enumerate(self.auto.ends):
-            at = node
-            while token >= 0 and at:
-                at = up[at]
-                if below[at] is not None:
-                    below[at].append(token)
-                    if len(below[at]) > FEW:
-                        below[at] = None
-        return [None if x is None else tuple(x) for x in below]
-
-    def _open(self, node: int, at: int) -> int:
-        """What an open arc can still become: -1 for nothing, else a number that equal possibilities share."""
-        tokens = self.below[node]
-        if not tokens:
-            return -1 if tokens is not None else at
-        key = node << 20 | at
-        known = self.same.get(key)
-        if known is None:
-            arc = self.auto.arc
-            may = tuple(t for t in tokens if arc(at, t))
-            known = self.same[key] = self.classes.setdefault((node, may), at) if may else -1
-        return known
-
-    def _reset(self) -> None:
-        self.move: dict[int, int] = {}
-        self.ids: dict[tuple, int] = {(0,): 0}
-        self.states: list[tuple] = [(0,)]
-        self.same: dict[int, int] = {}
-        self.classes: dict[tuple, int] = {}
-
-    def _make(self, state: int, byte: int) -> int:
-        """The transition out of a state that hasn't been taken before."""
-        step, ends, arc = self.auto.step.get, self.auto.ends, self.auto.arc
-        here = self.states[state]
-        open_, found = [], None
-        for node, at, behind in ((0, here[0], 0), *here[1:]):
-            node = step(node << 8 | byte)
-            if node is None:
-                continue
-            token = ends[node]
-            if found is None and token >= 0 and arc(at, token):
-                found = token, behind + 1
-            at = self._open(node, at)
-            if at >= 0:
-                open_.append((node, at, behind))
-        if found is None:
-            raise ValueError(f"the vocabulary has no token for byte {byte}")
-        token, change = found
-        key = (self.auto.target[token], *((node, at, behind - change) for node, at, behind in open_))
-        to = self.ids.get(key)
-        if to is None:
-            to = self.ids[key] = len(self.states)
-            self.states.append(key)
-        self.move[state << 8 | byte] = made = to << 8 | change + 128
-        return made
-
-    def count(self, word: bytes) -> int:
-        """Number of canonical tokens of a word."""
-        if len(self.states) > self.most:
-            self._reset()
-        state = total = 0
-        get = self.move.get
-        for b in word:
-            m = get(state << 8 | b)
-            if m is None:
-                m = self._make(state, b)
-            state = m >> 8
-            total += (m & 255) - 128
-        return total
-
-
-class WordCounts(dict):
-    """Word -> number of tokens; bounded: forgets all when full."""
-
-    def __init__(self, path: str, most: int = CACHE_WORDS):
-        super().__init__()
-        self.machine, self.most = CountTransducer(automaton(path)), most
-
-    def __missing__(self, word: str) -> int:
-        n = self.machine.count(word.encode("utf-8", "surrogatepass"))
-        if len(self) >= self.most:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = n
-        return n
+def count_texts(texts: list[str], auto: MergeAutomaton) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's number of tokens and of words."""
+    stream, starts, ends, per = pretokens.spans(texts)
+    sums = np.concatenate([[0], np.cumsum(transducer(auto).counts(stream, starts, ends))])
+    at = np.cumsum(per)
+    return sums[at] - sums[at - per], per
 
 
-@cache
-def word_counts(path: str) -> WordCounts:
-    return WordCounts(path)
+def length(docs: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZER) -> Column:
+    """Each text's number of tokens as a column of docs, 0 for null."""
+    ship(docs.sparkSession)
+    compiled = sent(docs, tokenizer)
 
+    @F.pandas_udf("int")
+    def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            given = ["" if t is None else t for t in texts]
+            part = np.cumsum([len(t) for t in given]) // SLICE_BYTES if given else np.zeros(0, np.int64)
+            made = [count_texts([given[i] for i in np.flatnonzero(part == k)], compiled.value)[0] for k in np.unique(part)]
+            yield pd.Series(np.concatenate(made) if made else [], dtype="int32")
 
-def count_texts(texts: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's number of tokens and of words."""
-    words, per = pretokens.split(texts)
-    each = np.fromiter(map(word_counts(path).__getitem__, words), dtype=np.int64, count=len(words))
-    sums = np.concatenate([[0], np.cumsum(each)])
-    ends = np.cumsum(per)
-    return sums[ends] - sums[ends - per], per
+    return counted(F.col(f"`{text_col}`").cast("string"))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -150,12 +53,13 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc
     are; other columns are ignored. No shuffle: one pass in Arrow batches, of which only counts come back.
     """
     ship(docs.sparkSession)
+    compiled = sent(docs, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             given = batch.column(1).to_pylist()
             absent = np.array([t is None for t in given])
-            tokens, words = count_texts([t or "" for t in given], tokenizer)
+            tokens, words = count_texts([t or "" for t in given], compiled.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, mask=absent, type=pa.int64()), pa.array(words, mask=absent, type=pa.int64()), batch.column(2)], ["id", "n_tokens", "n_words", "n_bytes"])
 
     text = F.col(f"`{text_col}`").cast("string")

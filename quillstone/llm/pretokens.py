@@ -137,8 +137,8 @@ def starts(kinds: np.ndarray, size: int = 256) -> np.ndarray:
     return begins
 
 
-def split(texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """All words of the texts in order, and the number of words of each text."""
+def spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' UTF-8 bytes in one stream, where in it each word starts and ends, and the number of words of each text."""
     joined = BREAK.join(texts) + BREAK
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     kinds = classes()[codes]
@@ -147,6 +147,16 @@ def split(texts: list[str]) -> tuple[list[str], np.ndarray]:
     at = np.flatnonzero(starts(kinds))
     to = np.append(at[1:], len(codes))
     keep = kinds[at] != END
-    words = [joined[a:b] for a, b in zip(at[keep].tolist(), to[keep].tolist())]
-    counts = np.diff(np.searchsorted(at[keep], ends), prepend=0)
-    return words, counts
+    at, to = at[keep], to[keep]
+    counts = np.diff(np.searchsorted(at, ends), prepend=0)
+    wide = np.ones(len(codes) + 1, dtype=np.int64)
+    wide[:-1] += (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+    place = np.cumsum(wide) - wide
+    return np.frombuffer(joined.encode("utf-8", "surrogatepass"), dtype=np.uint8), place[at], place[to], counts
+
+
+def split(texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """All words of the texts in order, and the number of words of each text."""
+    stream, at, to, counts = spans(texts)
+    data = stream.tobytes()
+    return [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(at.tolist(), to.tolist())], counts

@@ -25,7 +25,7 @@ def library():
 
 
 def ids_of(text, path=bpe.TOKENIZER):
-    return bpe.encode_texts([text], path)[0].tolist()
+    return bpe.encode_texts([text], bpe.automaton(path))[0].tolist()
 
 
 @pytest.mark.parametrize("text", TEXTS)
@@ -40,7 +40,7 @@ def test_random_texts_same_as_the_library(library):
         got = ids_of(text)
         assert got == library(text)
         assert bpe.automaton(bpe.TOKENIZER).decode(got).decode() == text
-        assert counts.count_texts([text], bpe.TOKENIZER)[0][0] == len(got)
+        assert counts.count_texts([text], bpe.automaton(bpe.TOKENIZER))[0][0] == len(got)
 
     check()
 
@@ -84,3 +84,15 @@ def test_counts_are_the_tokens_number(hard, none):
     by = {r["doc_id"]: r for r in rows}
     assert by[3]["n_tokens"] is None and by[3]["n_bytes"] is None and (by[2]["n_tokens"], by[2]["n_words"], by[2]["n_bytes"]) == (0, 0, 0)
     assert counts.count_tokens(none).count() == 0
+
+
+def test_long_words_and_new_tables():
+    """A long word without blanks, and a table that begins anew again and again, give the same tokens."""
+    auto = bpe.automaton(bpe.TOKENIZER)
+    texts = ["aé漢" * 3000, "x" * 5000, "1234567890" * 400, *TEXTS]
+    want = bpe.encode_texts(texts, auto)
+    small = bpe.Transducer(auto, 50)
+    for text, n in zip(texts, want[1].tolist()):
+        stream, starts, ends, _ = pretokens.spans([text])
+        assert small.counts(stream, starts, ends).sum() == n
+    assert sum(map(len, map(auto.label.__getitem__, want[0].tolist()))) == sum(len(t.encode()) for t in texts)
