@@ -52,6 +52,10 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(to)
 
     def close(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(self.spark, self.path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever file system it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
