@@ -5,17 +5,13 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, ShortType
+from pyspark.sql.types import IntegerType, LongType, StructType
 
 from quillstone.cluster import cut
+from quillstone.llm import counts
 
-BUCKETS, BUDGET, SHARDS = 8, 16384, 64
-TOKEN = r"[\p{L}\p{N}]+|[^ \t\r\n\p{L}\p{N}]"
-
-
-def tokens(text: Column) -> Column:
-    """Tokens of the packed texts: runs of letters and digits, and single other characters; counted inside the JVM."""
-    return F.regexp_count(text.cast("string"), F.lit(TOKEN))
+BUCKETS, BUDGET = 8, 16384
+SHARD_ROWS = 2_000_000  # rows of one length that are ordered in one place
 
 
 def bounds(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> list[int]:
@@ -56,43 +52,60 @@ def bounds(lengths: list[int], counts: list[int], buckets: int = BUCKETS) -> lis
     return out[::-1]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """Each row's id, length, bucket (0-based), its bound, batch (0-based in its bucket) and place in the batch.
+def pack(docs: DataFrame, id_col: str = "doc_id", length: Column | None = None, text_col: str = "text", buckets: int = BUCKETS, budget: int = BUDGET, keep: bool = False) -> DataFrame:
+    """Each row's id, length, bucket (0-based), its bound, batch (0-based in its bucket) and place in the batch; with `keep` its other columns too.
 
-    A batch holds max(1, budget // bound) texts of one bucket, in the order of length, shard (id modulo 64, or its hash's) and id;
-    a text longer than the budget has a batch of its own. Lengths are `length` if given (say, the token
-    counts of another operator), else counted by `tokens`. Null and empty texts have length 0 and no bucket, batch or
-    place; null ids count as shard 0 and come first; rows equal in length and id follow each other in
-    any order. Other columns are ignored. Only (id, length) is shuffled; the driver sees one row for each distinct length.
+    A batch holds max(1, budget // bound) texts of one bucket, in the order of length, shard (0, but for lengths of more than SHARD_ROWS rows, which the
+    id's hash spreads over shards) and id; a text longer than the budget has a batch of its own. Lengths are `length` if given, else the numbers of
+    tokens that op8 counts. Null and empty texts have length 0 and no bucket, batch or place; null ids come first; rows equal in length and id follow
+    each other in any order. Other columns are ignored, or kept: those called as one of the result's get underscores at their ends. Only what is asked for is
+    shuffled; the driver sees one row for each distinct length and shard.
     """
-    kind = docs.schema[id_col].dataType
     key = F.col(f"`{id_col}`")
-    whole = isinstance(kind, (LongType, IntegerType, ShortType))
-    shard = F.coalesce(F.pmod(key if whole else F.xxhash64(key), F.lit(SHARDS)), F.lit(0)).cast("int")
-    measure = tokens(F.col(f"`{text_col}`")) if length is None else length
-    rows = cut(docs.select(key.alias("id"), F.coalesce(measure, F.lit(0)).cast("int").alias("length"), shard.alias("shard")))
-    held = rows.groupBy("length", "shard").count()
-    seen = sorted((r[0], r[1]) for r in held.where("length > 0").groupBy("length").agg(F.sum("count")).collect())
+    measure = counts.length(docs, text_col) if length is None else length
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != id_col]) if keep else F.lit(None)
+    rows = cut(docs.select(key.alias("id"), F.coalesce(measure, F.lit(0)).cast("int").alias("length"), rest.alias("rest")))
+    some = rows.where("length > 0")
+    seen = sorted((r[0], r[1]) for r in some.groupBy("length").count().collect())
     tops = bounds([x[0] for x in seen], [x[1] for x in seen], buckets)
-    edges = F.array(*[F.lit(t) for t in tops]) if tops else F.array().cast("array<int>")
-    bucket = F.when(F.col("length") > 0, F.size(F.filter(edges, lambda t: t < F.col("length"))))
-    before = Window.partitionBy("bucket").orderBy("length", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = held.withColumn("bucket", bucket).withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).select("length", "shard", "offset")
+    spread = {n: -(-c // SHARD_ROWS) for n, c in seen if c > SHARD_ROWS}  # at most one for each SHARD_ROWS rows
+    shard = F.lit(0)
+    if spread:
+        shards = F.create_map(*[F.lit(x) for pair in spread.items() for x in pair])
+        shard = F.coalesce(F.pmod(F.xxhash64("id"), F.try_element_at(shards, F.col("length"))), F.lit(0)).cast("int")
+        some = some.withColumn("shard", shard)
+        held = sorted((r[0], r[1], r[2]) for r in some.groupBy("length", "shard").count().collect())
+    else:
+        some, held = some.withColumn("shard", shard), [(n, 0, c) for n, c in seen]
+    places, at, bucket = [], 0, 0
+    for n, k, c in held:
+        while n > tops[bucket]:
+            at, bucket = 0, bucket + 1
+        places.append((n, k, bucket, tops[bucket], at))
+        at += c
+    kinds = StructType().add("n", IntegerType()).add("k", IntegerType()).add("bucket", IntegerType()).add("bound", IntegerType()).add("offset", LongType())
+    offsets = docs.sparkSession.createDataFrame(places, kinds)
     within = Window.partitionBy("length", "shard").orderBy(F.col("id").asc_nulls_first())
-    ranked = rows.withColumn("rank", F.row_number().over(within) - 1).join(offsets, ["length", "shard"])
-    bound = F.try_element_at(edges, F.col("bucket") + 1)
-    room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bound"))).cast("bigint")
+    ranked = some.withColumn("rank", F.row_number().over(within) - 1)
     at = F.col("rank") + F.col("offset")
-    placed = ranked.withColumn("bucket", bucket).withColumn("bound", bound)
-    return placed.select(
-        F.col("id").alias(id_col), "length", F.col("bucket").cast("int"), F.col("bound").cast("int"),
-        F.when(F.col("bucket").isNotNull(), F.floor(at / room)).cast("bigint").alias("batch"),
-        F.when(F.col("bucket").isNotNull(), at % room).cast("bigint").alias("place"),
-    )
+    room = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bound"))).cast("bigint")
+    placed = ranked.join(offsets, (F.col("length") == F.col("n")) & (F.col("shard") == F.col("k")))
+    placed = placed.select("id", "length", "rest", "bucket", "bound", F.floor(at / room).cast("bigint").alias("batch"), (at % room).cast("bigint").alias("place"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("bucket", "int"), ("bound", "int"), ("batch", "bigint"), ("place", "bigint"))]
+    out = placed.union(rows.where("length = 0").select("id", "length", "rest", *none))
+    own = ["length", "bucket", "bound", "batch", "place"]
+    names: dict[str, str] = {}
+    for c in docs.columns if keep else []:
+        if c != id_col:
+            name = c
+            while name in own or name == id_col or name in names.values() or name != c and name in docs.columns:
+                name += "_"
+            names[c] = name
+    return out.select(F.col("id").alias(id_col), *own, *[F.col("rest")[c].alias(n) for c, n in names.items()])
 
 
-def sql(table: str = "documents", buckets: int = BUCKETS, budget: int = BUDGET) -> str:
-    """The same packing as DuckDB SQL; the dynamic program is one common table for each layer."""
+def sql(table: str = "lengths", buckets: int = BUCKETS, budget: int = BUDGET) -> str:
+    """The same packing of a table (doc_id, length) as DuckDB SQL, for lengths of fewer than SHARD_ROWS rows; the dynamic program is one common table for each layer."""
     step = "\n".join(
         f"""d{k} AS MATERIALIZED (SELECT n, m AS best, m // 1000000 AS cost, (m % 1000000)::INT AS origin FROM (
   SELECT j.n AS n, min((p.cost + j.size::HUGEINT * (j.many - i.many) - (j.mass - i.mass)) * 1000000 + i.n) AS m FROM h j JOIN h i ON i.n < j.n JOIN d{k - 1} p ON p.n = i.n GROUP BY j.n)
@@ -104,7 +117,7 @@ def sql(table: str = "documents", buckets: int = BUCKETS, budget: int = BUDGET)
         back.append(f"b{buckets - k + 1} AS (SELECT d.origin AS n FROM d{k} d JOIN b{buckets - k} USING (n) WHERE d.n > 0)")
     ends = " UNION ".join(f"SELECT n FROM b{k}" for k in range(buckets))
     return f"""
-WITH t AS MATERIALIZED (SELECT doc_id, coalesce(len(regexp_extract_all(text, '{TOKEN}')), 0)::INT AS length, (doc_id % {SHARDS})::INT AS shard FROM {table}),
+WITH t AS MATERIALIZED (SELECT doc_id, length FROM {table}),
 g AS (SELECT length AS size, count(*) AS c FROM t WHERE length > 0 GROUP BY length),
 h AS MATERIALIZED (SELECT row_number() OVER (ORDER BY size) AS n, size, sum(c) OVER w AS many, sum(c * size) OVER w AS mass FROM g WINDOW w AS (ORDER BY size)
   UNION ALL SELECT 0, 0, 0, 0),
@@ -112,7 +125,7 @@ d1 AS MATERIALIZED (SELECT n, 0::HUGEINT AS best, size::HUGEINT * many - mass AS
 {step}
 {", ".join(back)},
 e AS MATERIALIZED (SELECT size AS bound, row_number() OVER (ORDER BY size) - 1 AS bucket FROM h WHERE n > 0 AND n IN ({ends})),
-p AS (SELECT t.*, e.bucket, e.bound, row_number() OVER (PARTITION BY e.bucket ORDER BY length, shard, doc_id) - 1 AS nth FROM t ASOF JOIN e ON t.length <= e.bound WHERE t.length > 0),
+p AS (SELECT t.*, e.bucket, e.bound, row_number() OVER (PARTITION BY e.bucket ORDER BY length, doc_id) - 1 AS nth FROM t ASOF JOIN e ON t.length <= e.bound WHERE t.length > 0),
 q AS (SELECT *, greatest(1, {budget} // bound) AS room FROM p)
 SELECT doc_id, length, bucket::INT AS bucket, bound::INT AS bound, (nth // room)::BIGINT AS batch, (nth % room)::BIGINT AS place FROM q
 UNION ALL SELECT doc_id, length, NULL, NULL, NULL, NULL FROM t WHERE length = 0"""

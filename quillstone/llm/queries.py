@@ -36,6 +36,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 SQL: dict[str, str] = {
     "op3_search": search.sql(),
-    "op4_packing": packing.sql(),
     "op7_quality_rules": rules.sql(),
 }
