@@ -29,8 +29,9 @@ from quillstone.llm import pretokens
 from quillstone.llm.common import lists, pieces
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-MOST_STATES = 400_000  # of a worker's table; then it begins anew
+MOST_STATES = 150_000  # of a worker's table; then it begins anew
 FEW = 48  # tokens below a node of the spelling that are told apart one by one
+SLICE = 2 << 20  # bytes of text that are read side by side: bounds memory
 SCALAR = 24  # so few words that are this long are walked one by one
 
 
@@ -179,7 +180,7 @@ class Transducer:
         self._room(1 << 16)
 
     def _room(self, size: int) -> None:
-        self.keys, self.to, self.last, self.change = np.full(size, -1, np.int64), np.zeros(size, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int64)
+        self.keys, self.to, self.last, self.change = np.full(size, -1, np.int64), np.zeros(size, np.int32), np.zeros(size, np.int32), np.zeros(size, np.int16)
         self.shift = np.uint64(64 - size.bit_length() + 1)
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
@@ -272,7 +273,7 @@ class Transducer:
         deep, k = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left"), 0
         while k < len(deep) and deep[k] > SCALAR:
             n = int(deep[k])
-            slot = self._find(state[:n] << 8 | stream[first[:n] + k])
+            slot = self._find(state[:n].astype(np.int64) << 8 | stream[first[:n] + k])
             each(order[:n], k, slot)
             state = self.to[slot]
             k += 1
@@ -383,7 +384,7 @@ def encode(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc_id",
     kind, compiled = docs.schema[id_col].dataType, sent(docs, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=SLICE):
             given = batch.column(1).to_pylist()
             flat, sizes = encode_texts([t or "" for t in given], compiled.value)
             bytes_, n = spelt(flat, compiled.value)

@@ -19,8 +19,8 @@ from pyspark.sql.types import IntegerType, LongType, StructType
 
 from quillstone.cluster import ship
 from quillstone.llm import pretokens
-from quillstone.llm.bpe import TOKENIZER, MergeAutomaton, sent, transducer
-from quillstone.llm.common import SLICE_BYTES, pieces
+from quillstone.llm.bpe import SLICE, TOKENIZER, MergeAutomaton, sent, transducer
+from quillstone.llm.common import pieces
 
 def count_texts(texts: list[str], auto: MergeAutomaton) -> tuple[np.ndarray, np.ndarray]:
     """Each text's number of tokens and of words."""
@@ -39,7 +39,7 @@ def length(docs: DataFrame, text_col: str = "text", tokenizer: str = TOKENIZER)
     def counted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             given = ["" if t is None else t for t in texts]
-            part = np.cumsum([len(t) for t in given]) // SLICE_BYTES if given else np.zeros(0, np.int64)
+            part = np.cumsum([len(t) for t in given]) // SLICE if given else np.zeros(0, np.int64)
             made = [count_texts([given[i] for i in np.flatnonzero(part == k)], compiled.value)[0] for k in np.unique(part)]
             yield pd.Series(np.concatenate(made) if made else [], dtype="int32")
 
@@ -56,7 +56,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, id_col: str = "doc
     compiled = sent(docs, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
+        for batch in pieces(batches, most=SLICE):
             given = batch.column(1).to_pylist()
             absent = np.array([t is None for t in given])
             tokens, words = count_texts([t or "" for t in given], compiled.value)

@@ -149,10 +149,12 @@ def spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     keep = kinds[at] != END
     at, to = at[keep], to[keep]
     counts = np.diff(np.searchsorted(at, ends), prepend=0)
-    wide = np.ones(len(codes) + 1, dtype=np.int64)
-    wide[:-1] += (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
-    place = np.cumsum(wide) - wide
-    return np.frombuffer(joined.encode("utf-8", "surrogatepass"), dtype=np.uint8), place[at], place[to], counts
+    wide = np.ones(len(codes) + 1, dtype=np.uint8)
+    for least in (0x80, 0x800, 0x10000):
+        wide[1:] += codes >= least  # bytes of the character before
+    wide[0] = 0
+    place = np.cumsum(wide, dtype=np.int32)
+    return np.frombuffer(joined.encode("utf-8", "surrogatepass"), dtype=np.uint8), place[at].astype(np.int64), place[to].astype(np.int64), counts
 
 
 def split(texts: list[str]) -> tuple[list[str], np.ndarray]:
