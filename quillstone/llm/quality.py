@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StructType
 
 from quillstone.cluster import ship
 from quillstone.llm import crf
@@ -26,6 +26,9 @@ from quillstone.llm.common import pieces
 from quillstone.llm.rules import STOP_WORDS
 
 SAMPLE = 1500  # labelled documents of each class that the field is trained on
+EXCERPT = 1 << 17  # characters of one of them
+SAMPLE_COST = 12_000_000  # no further document of a class is taken once its excerpts cost so much: a character 1, a line LINE_COST
+LINE_COST = 100
 THRESHOLD = 0.5
 _STOP = frozenset(STOP_WORDS)
 _LOW, _UP, _NUM, _BLANK, _STOPS, _OTHER = range(6)
@@ -63,7 +66,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     kinds = _kinds()[codes]
     at = np.cumsum(size) - size
-    share = np.stack([np.add.reduceat((kinds == k).astype(np.int64), at) for k in range(6)], axis=1) / size[:, None]
+    share = np.stack([np.add.reduceat(kinds == k, at, dtype=np.int64) for k in range(6)], axis=1) / size[:, None]
     words, distinct, stops, again = (np.zeros(n) for _ in range(4))
     for i, line in enumerate(lines):
         w = line.split()
@@ -105,13 +108,31 @@ def fit(texts: list[str], labels: list[int]) -> crf.Crf:
 
 
 def learned(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> crf.Crf:
-    """The field trained on at most `sample` labelled documents of each class, those with the least hashes of their ids: the same whatever the partitions."""
+    """The field trained on at most `sample` labelled documents of each class, those with the least hashes of their ids: the same whatever the partitions.
+
+    Of rows that share an id the one with the least hash of its text is taken, of a long text the first EXCERPT characters, and no more documents once they cost
+    SAMPLE_COST, so that what the driver gets is bounded in bytes too. Null ids and texts aren't learned from.
+    """
     marks = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("id is not null and label in (0, 1)")
     marks = marks.groupBy("id").agg(F.min("label").alias("label"))
     first = lambda k: marks.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample)
     marks = first(0).union(first(1))
     text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("text is not null")
-    rows = text.join(F.broadcast(marks), "id").collect()  # at most 2 x sample rows
+    part = F.substring("text", 1, EXCERPT)
+    cost = F.length(part) + LINE_COST * (1 + F.length(part) - F.length(F.replace(part, F.lit("\n"), F.lit(""))))
+    sized = text.join(F.broadcast(marks), "id").select("id", "label", F.struct(F.xxhash64("text").alias("h"), cost.alias("cost")).alias("one"))
+    sized = sized.groupBy("id").agg(F.first("label").alias("label"), F.min("one").alias("one")).orderBy(F.xxhash64("id"), "id")
+    spent, chosen = [0, 0], []
+    for r in sized.collect():  # at most 2 x sample small rows
+        if spent[r["label"]] < SAMPLE_COST:
+            spent[r["label"]] += r["one"]["cost"]
+            chosen.append((r["id"], r["one"]["h"], r["label"]))
+    if not chosen:
+        return fit([], [])
+    kinds = StructType().add("i", text.schema["id"].dataType).add("h", LongType()).add("label", IntegerType())
+    wanted = docs.sparkSession.createDataFrame(chosen, kinds)
+    rows = text.join(F.broadcast(wanted), (F.col("id") == F.col("i")) & (F.xxhash64("text") == F.col("h"))).select("id", "label", part.alias("text"))
+    rows = rows.groupBy("id").agg(F.first("label").alias("label"), F.first("text").alias("text")).collect()
     rows.sort(key=lambda r: (str(r["id"]), r["text"]))
     return fit([r["text"] for r in rows], [r["label"] for r in rows])
 

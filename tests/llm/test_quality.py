@@ -64,6 +64,21 @@ def test_one_class_only(spark, hard):
     assert quality.classify(hard, quality.learned(hard, labels.limit(0))).count() == len(HARD)
 
 
+def test_what_the_driver_gets_is_bounded(spark, monkeypatch):
+    """Repeated ids and long texts don't make the sample larger; at 0.5 GB of texts of 1 MB its collection failed by spark.driver.maxResultSize."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, labels: seen.append((texts, labels)))
+    rows = [(k, "a line of some words\n" * (10 if k % 2 else 20_000)) for k in range(12)]
+    docs, labels = spark.createDataFrame(rows * 5 + [(1, None)], "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(12)], "doc_id long, quality int")
+    quality.learned(docs, labels)
+    texts, told = seen.pop()
+    assert len(texts) == 12 and max(map(len, texts)) == quality.EXCERPT and all((len(t) < 1000) == bool(k) for t, k in zip(texts, told))
+    monkeypatch.setattr(quality, "SAMPLE_COST", 2 * quality.EXCERPT)
+    quality.learned(docs, labels)
+    texts, told = seen.pop()
+    assert told.count(1) == 6 and told.count(0) < 3 and 0 in told
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 def test_held_out_accuracy(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
