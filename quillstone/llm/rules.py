@@ -62,7 +62,8 @@ def measures(text: Column) -> dict[str, Column]:
 
 def compiled(rules: tuple[Rule, ...] = RULES) -> Column:
     """Names of the rules that a row of measures fails, in order, as one expression."""
-    value = lambda m: {"one": F.lit(1), "variety": F.col("distinct_words") * F.col("distinct_words")}.get(m, F.col(m)).cast("bigint")
+    count = lambda m: F.col(m).cast("bigint")  # noqa: E731 - before any product: squares and thousands of a long text's measures are beyond 32 bits
+    value = lambda m: F.lit(1).cast("bigint") if m == "one" else count("distinct_words") * count("distinct_words") if m == "variety" else count(m)
     failed = []
     for r in rules:
         share, base = value(r.part) * 1000, value(r.whole)

@@ -28,3 +28,18 @@ def test_kept_are_those_assessed_so(hard, none):
     by = {r["doc_id"]: r for r in rules.assess(hard).collect()}
     assert by[3]["failed"] == by[2]["failed"] == "some_words" and not by[3]["kept"] and by[3]["chars"] == 0
     assert rules.assess(none).count() == 0 and rules.kept(none).count() == 0
+
+
+def test_many_distinct_words(spark):
+    """The square of a long text's distinct words is beyond 32 bits."""
+    docs = spark.createDataFrame([(1, " ".join(f"the w{k}" for k in range(50_000)))], "doc_id long, text string")
+    got = rules.assess(docs).first()
+    assert (got["distinct_words"], got["failed"]) == (50_001, "") and rules.kept(docs).count() == 1
+    want = _connected(docs).sql(rules.sql("docs")).df()
+    assert check_sql.canonical(rules.assess(docs).toPandas()) == check_sql.canonical(want)
+
+
+def _connected(docs):
+    con = duckdb.connect()
+    con.register("docs", docs.toPandas())
+    return con
