@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import json
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
@@ -48,8 +49,13 @@ class _Reader(DataSourceReader):
         catalog, path = read_schema(self.file), partition.value
         strict = Strictness(allow_several_sheets=True, ignore_missing_models=True, ignore_extra_models=True, ignore_missing_attributes=True, ignore_extra_attributes=self.lenient)
         wrong: list[str] = []
-        extra: dict[str, dict[str, dict]] = {}
-        sheets = xlsx.read(path).values() if path.endswith(".xlsx") else [layout.cells(path)]
+        found: dict[str, dict] = {}
+
+        def extra(to: str, cells: dict[str, str]) -> None:
+            if to == self.model:
+                found[json.dumps(cells, sort_keys=True)] = cells
+
+        sheets = (rows for _, rows in xlsx.read(path)) if path.endswith(".xlsx") else [layout.cells(path)]
         for rows in sheets:
             for sheet in layout.tables(rows)[1]:
                 owner = model_of(catalog, sheet.model) if sheet.meta.get("type", "Data") == "Data" else None
@@ -57,9 +63,10 @@ class _Reader(DataSourceReader):
                     made = _rows(catalog, catalog[owner], path, sheet, strict, wrong, extra)
                     if wrong:
                         raise ReadError("\n".join(wrong))
-                    if owner == self.model:
-                        yield from (tuple(r[:-2]) for r in made)
-        for cells in extra.get(self.model, {}).values():  # rows of the model in groups of cells of other tables
+                    for r in made:
+                        if owner == self.model:
+                            yield tuple(r[:-2])
+        for cells in found.values():  # rows of the model in groups of cells of other tables
             yield tuple(cells.get(c) for c in catalog[self.model].columns())
 
 
