@@ -148,3 +148,77 @@ def test_references_to_numbers_and_headings_by_words(spark, tmp_path):
     data = read(spark, str(p), c)
     assert rows(clean(data.tables["gene"], c["gene"], catalog=c), "id", "first_place", "others") == [("g1", "7", "7, 7"), ("g2", "8", "9")]
     assert [(r["pk"], r["attr"], r["value"]) for r in validate(data.tables, c, text=True).collect()] == [("g2", "others", "9")]
+
+
+@pytest.fixture
+def parts(monkeypatch):
+    """Few rows on the driver at once."""
+    from quillstone.sources import read as reading
+    from quillstone.sources import write as writing
+
+    monkeypatch.setattr(writing, "PART_ROWS", 300, raising=False)
+    monkeypatch.setattr(reading, "HELD_ROWS", 300, raising=False)
+    monkeypatch.setattr(reading, "READ_CHARS", 1 << 12, raising=False)
+
+
+@pytest.mark.parametrize("name", ["x.csv", "x-*.csv", "x.xlsx", "x.json", "x.yaml"])
+def test_round_trip_in_parts(spark, tmp_path, parts, name):
+    c = compile_table(SCHEMA)
+    people = [(f"p{k}", str(k % 90), ["", "Alpha", "Alpha, Beta"][k % 3]) for k in range(1000)]
+    tables = {"Company": [("Alpha", "1 Main"), ("Beta", "2 Side")], "Person": people, "Address": [("1 Main", "Here"), ("2 Side", "Söder\n- \"x\": [1]")]}
+    data = {m: clean(spark.createDataFrame(r, ", ".join(f"{x} string" for x in c[m].columns())), c[m]) for m, r in tables.items()}
+    to = str(tmp_path / name)
+    write(to, data, c, {"about": "it's a test"}, toc=True, schema=True, write_empty=False)
+    back = read(spark, to, c)
+    assert back.document == {"about": "it's a test"} and [p.name for p in tmp_path.iterdir()].count("x.xlsx") <= 1 and not [p for p in tmp_path.iterdir() if len(p.suffix) > 6]
+    assert {m: rows(d, *c[m].columns()) for m, d in back.tables.items()} == {m: sorted(r) for m, r in tables.items()}
+    order = [r["name"] for r in back.tables["Person"].orderBy("__row").collect()]
+    assert order == [f"p{k}" for k in range(1000)] and back.tables["Person"].agg({"__row": "count"}).first()[0] == 1000
+
+
+@pytest.mark.parametrize("name", ["n.json", "n.yaml"])
+def test_last_values_of_repeated_objects_in_parts(spark, tmp_path, monkeypatch, name):
+    import random
+
+    import yaml
+
+    from quillstone.sources import read as reading
+
+    draw = random.Random(7)
+    person = lambda k: {"name": f"p{k}"} | ({"age": draw.choice([None, draw.randrange(90)])} if draw.random() < 0.7 else {})
+    company = lambda k: {"__id": f"c{k}", "name": f"c{k}", "people": [person(draw.randrange(40)) for _ in range(3)]} if draw.random() < 0.5 else {"name": f"c{k}", "address": {"street": f"s{k % 5}", "city": str(draw.random())}}
+    tree = {"Person": [person(draw.randrange(80)) | {"companies": [company(draw.randrange(20))]} for _ in range(200)], "Company": company(3), "_documentMetadata": {"a": "1"}}
+    p = tmp_path / name
+    p.write_text(json.dumps(tree) if name == "n.json" else yaml.safe_dump(tree, sort_keys=False))
+    c = compile_table(SCHEMA)
+    seen = []
+    for held in (1 << 20, 50):
+        monkeypatch.setattr(reading, "HELD_ROWS", held, raising=False)
+        data = read(spark, str(p), c)
+        seen.append((data.document, {m: rows(d.na.fill("none"), "__row", *c[m].columns()) for m, d in data.tables.items()}))
+    assert seen[0] == seen[1] and len(seen[0][1]["Person"]) > 60 and seen[0][0] == {"a": "1"}
+
+
+@pytest.mark.parametrize("text", ['{"Person": [{"name": "a"}', '{"Person": [{"name": "a"}]} x', '{"Person": [{"name": "a" "age": 1}]}', '[1]', ""])
+def test_broken_json(spark, tmp_path, text):
+    (tmp_path / "b.json").write_text(text)
+    with pytest.raises(ReadError):
+        read(spark, str(tmp_path / "b.json"), compile_table(SCHEMA))
+
+
+@pytest.mark.parametrize("name", ["x.xlsx", "x.json", "x.yaml"])
+def test_the_driver_holds_a_part_of_a_file(spark, tmp_path, parts, name):
+    """Python's memory on the driver while 6,000 rows are written and read."""
+    import tracemalloc
+
+    c = compile_table(SCHEMA)
+    people = spark.range(6000).selectExpr("concat('p', id) AS name", "id AS age", "repeat('long name ', 30) AS companies")
+    to = str(tmp_path / name)
+    tracemalloc.start()
+    try:
+        write(to, {"Person": clean(people, c["Person"])}, c)
+        data = read(spark, to, c, Strictness(ignore_missing_models=True))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert data.tables["Person"].count() == 6000 and peak < 4e6, peak
