@@ -12,6 +12,8 @@ from quillstone.functions.codecs import Codec, StringCodec
 from quillstone.functions.text import join_list, natural_key, split_list
 from quillstone.schema import Catalog, Model
 
+ROWS = 500_000  # of a table in a task that groups or joins it, but where more have one key
+KEYS = 100_000  # of a table that are sent to all tasks
 VIOLATION = "model string, pk string, attr string, message string, value string"
 
 
@@ -73,42 +75,63 @@ def rules(df: DataFrame, model: Model, pk: Column | None = None) -> DataFrame:
     return _explode(df, model.name, key, found)
 
 
-def repeated(df: DataFrame, columns: list[str], keys: dict[str, Codec] | None = None) -> DataFrame:
-    """(the columns, times) of values that occur more than once; nulls count as equal. Partial counts come before the shuffle."""
+def _rows(df: DataFrame, rows: int | None) -> int:
+    return 0 if df.isStreaming else df.count() if rows is None else rows
+
+
+def _spread(df: DataFrame, columns: list[str], rows: int) -> DataFrame:
+    """A table of so many rows by the columns' hash in partitions of ROWS, however many there are by the settings, so that what a task groups or sorts doesn't grow
+    with the table. Grouped before the shuffle, keys that don't repeat would only fill memory: a group for each row of a split."""
+    return df.repartition(-(-rows // ROWS), *[F.col(f"`{c}`") for c in columns]) if rows > ROWS else df
+
+
+def repeated(df: DataFrame, columns: list[str], keys: dict[str, Codec] | None = None, rows: int | None = None) -> DataFrame:
+    """(the columns, times) of values that occur more than once; nulls count as equal. rows: how many df has, counted where it isn't told. Of few rows partial counts come before the shuffle."""
     keys = keys or {}
     named = [(keys[c].key(F.col(f"`{c}`")) if c in keys else F.col(f"`{c}`")).alias(c) for c in columns]
-    return df.select(*named).groupBy(*[f"`{c}`" for c in columns]).agg(F.count("*").alias("times")).where("times > 1")
+    return _spread(df.select(*named), columns, _rows(df, rows)).groupBy(*[f"`{c}`" for c in columns]).agg(F.count("*").alias("times")).where("times > 1")
 
 
 def repeated_texts(df: DataFrame, column: str) -> DataFrame:
     """repeated() for long texts: only their 64-bit hash is shuffled first; the texts of repeated hashes alone are then compared."""
     c = F.col(f"`{column}`")
-    twice = df.select(F.xxhash64(c).alias("h")).groupBy("h").count().where("count > 1").select("h")
-    return repeated(df.select(c.alias(column), F.xxhash64(c).alias("h")).join(twice, "h", "left_semi"), [column])
+    twice = _spread(df.select(F.xxhash64(c).alias("h")), ["h"], _rows(df, None)).groupBy("h").count().where("count > 1").select("h")
+    return repeated(df.select(c.alias(column), F.xxhash64(c).alias("h")).join(twice, "h", "left_semi"), [column], rows=0)
 
 
-def uniqueness(df: DataFrame, model: Model) -> DataFrame:
+def uniqueness(df: DataFrame, model: Model, rows: int | None = None) -> DataFrame:
     """Violations of unique attributes and of tuples that must be unique together."""
     out = []
+    rows = _rows(df, rows) if model.unique_together or any(a.unique for a in model.attributes.values()) else 0
     for columns in [*([a.name] for a in model.attributes.values() if a.unique and a.name in df.columns), *map(list, model.unique_together)]:
-        again = repeated(df, columns, {n: a.codec for n, a in model.attributes.items()})
+        again = repeated(df, columns, {n: a.codec for n, a in model.attributes.items()}, rows)
         value = F.concat_ws(", ", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns])
         message = "value must be unique" if len(columns) == 1 else "values must be unique together"
         out.append(again.select(F.lit(model.name).alias("model"), F.lit(None).cast("string").alias("pk"), F.lit(", ".join(columns)).alias("attr"), F.lit(message).alias("message"), value.alias("value")))
     return reduce(DataFrame.unionByName, out) if out else df.sparkSession.createDataFrame([], VIOLATION)
 
 
-def foreign_keys(df: DataFrame, column: str, to: DataFrame, key: str, model: str = "", pk: str | None = None) -> DataFrame:
-    """Violations: rows whose reference isn't blank and isn't found. An anti join; the planner picks broadcast by the tables' sizes."""
+def foreign_keys(df: DataFrame, column: str, to: DataFrame, key: str, model: str = "", pk: str | None = None, rows: int | None = None, keys: int | None = None) -> DataFrame:
+    """Violations: rows whose reference isn't blank and isn't found. An anti join; the planner picks broadcast by the tables' sizes, and KEYS keys or fewer are always sent. rows, keys: how many df and `to` have, counted where they aren't told."""
     c = F.col(f"`{column}`")
-    lost = df.where(c.isNotNull() & (c.cast("string") != "")).join(to.select(to[f"`{key}`"].alias("__key")).distinct(), c == F.col("__key"), "left_anti")
+    rows, keys = _rows(df, rows), _rows(to, keys)
+    named, have = df.where(c.isNotNull() & (c.cast("string") != "")), to.select(to[f"`{key}`"].alias("__key"))
+    kinds = {df.schema[column].dataType, to.schema[key].dataType}
+    if max(rows, keys) > ROWS and keys > KEYS and len(kinds) == 1:
+        named, have = _spread(named, [column], max(rows, keys)), _spread(have, ["__key"], max(rows, keys))
+    have = have.distinct()
+    lost = named.join(F.broadcast(have) if rows > ROWS and keys <= KEYS else have, c == F.col("__key"), "left_anti")
     return lost.select(F.lit(model).alias("model"), (F.col(f"`{pk}`") if pk else F.lit(None)).cast("string").alias("pk"), F.lit(column).alias("attr"), F.lit("no such object").alias("message"), c.cast("string").alias("value"))
 
 
-def cardinality(parents: DataFrame, key: str, children: DataFrame, reference: str, least: int = 0, most: int | None = None) -> DataFrame:
-    """(key, n) of parents with too few or too many children. Children are counted before they are joined."""
-    n = children.where(F.col(f"`{reference}`").isNotNull()).groupBy(F.col(f"`{reference}`").alias("__ref")).agg(F.count("*").alias("n"))
-    counted = parents.select(F.col(f"`{key}`")).join(n, F.col(f"`{key}`") == F.col("__ref"), "left").select(F.col(f"`{key}`"), F.coalesce("n", F.lit(0)).alias("n"))
+def cardinality(parents: DataFrame, key: str, children: DataFrame, reference: str, least: int = 0, most: int | None = None, rows: int | None = None) -> DataFrame:
+    """(key, n) of parents with too few or too many children. Children are counted before they are joined. rows: how many the longer table has, counted where it isn't told."""
+    rows = max(_rows(parents, None), _rows(children, None)) if rows is None else rows
+    own, refs = parents.select(F.col(f"`{key}`")), children.where(F.col(f"`{reference}`").isNotNull()).select(F.col(f"`{reference}`").alias("__ref"))
+    if own.schema[0].dataType == refs.schema[0].dataType:
+        own, refs = _spread(own, [key], rows), _spread(refs, ["__ref"], rows)
+    n = refs.groupBy("__ref").agg(F.count("*").alias("n"))
+    counted = own.join(n, F.col(f"`{key}`") == F.col("__ref"), "left").select(F.col(f"`{key}`"), F.coalesce("n", F.lit(0)).alias("n"))
     bad = F.col("n") < least
     return counted.where(bad | (F.col("n") > most) if most is not None else bad)
 
@@ -123,6 +146,7 @@ def validate(data: dict[str, DataFrame], catalog: Catalog, text: bool = False) -
     """All violations of a dataset: of cleaning where the tables are text, then, for those models that are clean, of rules,
     uniqueness at every level of inheritance, references and cardinalities. Empty where all is well."""
     parts, typed = [], {}
+    rows = {name: _rows(df, None) for name, df in data.items()}
     for name, df in data.items():
         model = catalog[name]
         if text:
@@ -134,7 +158,7 @@ def validate(data: dict[str, DataFrame], catalog: Catalog, text: bool = False) -
         if have:
             model = catalog[name]
             columns = [n for n in model.attributes]
-            parts.append(uniqueness(reduce(DataFrame.unionByName, [d.select(*[f"`{c}`" for c in columns], *[f"`{c}`" for u in model.unique_together for c in u if c not in columns]) for d in have]), model))
+            parts.append(uniqueness(reduce(DataFrame.unionByName, [d.select(*[f"`{c}`" for c in columns], *[f"`{c}`" for u in model.unique_together for c in u if c not in columns]) for d in have]), model, sum(rows[s] for s in catalog.subclasses(name) if s in typed)))
     for name, df in typed.items():
         model = catalog[name]
         for r in model.relations.values():
@@ -143,16 +167,18 @@ def validate(data: dict[str, DataFrame], catalog: Catalog, text: bool = False) -
                 continue
             to = reduce(DataFrame.unionByName, [d.select(F.col(f"`{p}`").cast("string").alias("__to")) for d, p in targets])
             edges = _references(df, model.primary, r.name, r.many)
+            keys = sum(rows[s] for s in catalog.subclasses(r.to) if s in typed and catalog[s].primary)
+            links = _rows(edges, None) if r.many else rows[name]
             if not model.primary and r.least and not r.many:
                 blank = F.coalesce(F.col(f"`{r.name}`").cast("string"), F.lit("")) == ""
                 parts.append(_explode(df, name, F.lit(None), [_fault(r.name, "number of related objects is out of bounds", blank, F.lit("0"))]))
-            parts.append(foreign_keys(edges.withColumnRenamed("ref", r.name), r.name, to, "__to", name, "pk"))
+            parts.append(foreign_keys(edges.withColumnRenamed("ref", r.name), r.name, to, "__to", name, "pk", links, keys))
             if model.primary and (r.least or r.most is not None):
                 own = df.select(F.col(f"`{model.primary}`").cast("string").alias("pk"))
-                parts.append(_counted(cardinality(own, "pk", edges, "pk", r.least, r.most), name, r.name))
+                parts.append(_counted(cardinality(own, "pk", edges, "pk", r.least, r.most, max(rows[name], links)), name, r.name))
             limit = r.most_back if r.most_back is not None else 1 if r.kind in ("1-1", "1-N") else None
             if r.least_back or limit is not None:
-                parts.append(_counted(cardinality(to.withColumnRenamed("__to", "pk"), "pk", edges, "ref", r.least_back, limit), r.to, r.back or r.name))
+                parts.append(_counted(cardinality(to.withColumnRenamed("__to", "pk"), "pk", edges, "ref", r.least_back, limit, max(keys, links)), r.to, r.back or r.name))
     return reduce(DataFrame.unionByName, parts)
 
 

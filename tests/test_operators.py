@@ -151,3 +151,26 @@ def test_closure_of_many_rounds(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(20)], "src int, dst int")
     got = graph.closure(e, spark.createDataFrame([(0,)], "node int"))
     assert sorted(r["node"] for r in got.collect()) == list(range(1, 21))
+
+
+def test_tasks_of_validation_are_bounded(spark, monkeypatch):
+    """Few rows in a task whatever the table's size and the settings; the same violations."""
+    from quillstone.operators import validate
+    from quillstone.plans.catalog import catalog
+
+    n = 3000
+    customers = spark.range(n).selectExpr("id % 2990 AS c_custkey", "'Customer' AS c_name", "CAST(id - 10 AS double) AS c_acctbal", "'BUILDING' AS c_mktsegment", "CAST(nullif(id % 7, 6) AS long) AS c_nationkey")
+    orders = spark.range(n).selectExpr("id AS o_orderkey", "'F' AS o_orderstatus", "1.0D AS o_totalprice", "TIMESTAMP '2000-01-01' AS o_orderdate", "'2-HIGH' AS o_orderpriority", "id + 100 AS o_custkey")
+    nations = spark.range(5).selectExpr("id AS n_nationkey", "concat('n', id) AS n_name", "id AS n_regionkey")
+    data = {"customer": customers, "orders": orders, "nation": nations}
+    seen = []
+    for rows in (1 << 40, 200):
+        monkeypatch.setattr(validate, "ROWS", rows, raising=False)
+        monkeypatch.setattr(validate, "KEYS", 10, raising=False)
+        seen.append(sorted(map(str, validate.validate(data, catalog()).collect())))
+        once = validate.repeated(customers, ["c_custkey"])
+    assert seen[0] == seen[1] and len(seen[0]) > 500
+    assert validate._spread(orders, ["o_orderkey"], n).rdd.getNumPartitions() == 15
+    lost = validate.foreign_keys(orders, "o_custkey", customers, "c_custkey")
+    for df in (once, lost, validate.cardinality(customers, "c_custkey", orders, "o_custkey", 1)):
+        assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString() and df.count() > 0
